@@ -11,13 +11,14 @@ anew; the old bins stay wherever that saves none.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridex.llm.tokens import CACHE_MOST, load
+from meridex.llm.tokens import CACHE_MOST, load, spelled
 from meridex.session import Store
 
 PART = 40_000  # pieces that one task packs, about
@@ -28,14 +29,15 @@ class Ids(dict):
     """Token ids, as little-endian bytes, of the units between blanks; a bounded cache of one worker."""
 
     def __init__(self, tok):
-        self.tok = tok
+        self.tok, self.model = tok, tok.model
         self[""] = b""
 
     def __missing__(self, w: str) -> bytes:
         body = w.rstrip(".,!?;:|")
-        # letters, then a run of marks: two pre-tokens, whatever their neighbours
-        if body and len(body) < len(w) and body.isalpha() and max(body) <= "ɏ":
-            got = self[body] + self[w[len(body) :]]
+        if body.isalpha() and max(body) <= "ɏ" and "İ" not in body:
+            # letters that are in normal form already, one pre-token, and perhaps a run of marks, another one
+            low = body.lower()
+            got = array("I", [x.id for x in self.model.tokenize(low if low.isascii() else spelled(low))]).tobytes() if low == w else self[low] + self[w[len(body) :]]
         else:
             got = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= 2 * CACHE_MOST:

@@ -30,9 +30,18 @@ _ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 #: Characters on whose classes every Unicode version in use agrees.
 _COMMON = re.compile(r"[\x00-ɏͰ-ͷΑ-ΡΣ-ϿА-яء-ي‐-‧€ぁ-ゖァ-ヺ一-龥]*\Z")
 
+#: Byte-level vocabularies write a byte as one character: printable ones as themselves, the others, in order, from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _loaded: dict = {}
 
 
+def spelled(pre: str) -> str:
+    """A pre-token as a byte-level model spells it."""
+    return pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES)
+
+
 def load(spec: str):
     """The tokenizer of a JSON text, once for each Python worker."""
     key = hash(spec)
@@ -51,12 +60,12 @@ class Lengths(dict):
     """Token counts of pre-tokens: the broadcast table first, then this worker's cache."""
 
     def __init__(self, tok, table: dict):
-        self.tok, self.table = tok, table
+        self.tok, self.table, self.model = tok, table, tok.model
 
     def __missing__(self, p: str) -> int:
         n = self.table.get(p)
         if n is None:
-            n = len(self.tok.encode(p, add_special_tokens=False).ids)
+            n = len(self.model.tokenize(spelled(p)))
             if len(self) >= CACHE_MOST:
                 self.clear()
             self[p] = n
