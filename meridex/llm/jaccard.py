@@ -4,12 +4,16 @@ Documents become sets of hashed 5-word shingles; equal sets form one class, and
 are joined. Two classes can reach the threshold only when they share
 
 * one of their fixed-size subsets, for small sets (`subset keys`), or
-* one of the first n - ceil(t * n) + 1 shingles in a common order, for large sets (`prefix keys`).
+* SHARED of the first n - ceil(t * n) + SHARED shingles in a common order, for large sets (`prefix keys`).
 
 The order puts frequent ("heavy") shingles last, so passages that many documents share seldom
 become keys. The boundary between small and large minimises the estimated cost: subsets to
 enumerate against list entries to scan. Sets up to 1/t times the boundary post both kinds of key.
 
+A set posts its heavy prefix keys only when it has SHARED of them or more: any other pair must share
+a light key. With c common prefix keys, two sets have at most c + max(n - p, m - q) common shingles, p and q
+being the prefix lengths; pairs that cannot reach the overlap they need are dropped before any set is read.
+
 Lists are scanned in a shuffle by key; the list of a heavy key is dealt over several tasks. A first
 round verifies for each class its most promising neighbour. Later, only pairs that are not yet in one
 component are verified, so thousands of near copies never become all their pairs, while no link that
@@ -32,10 +36,12 @@ from meridex.session import Store
 
 #: Heavy shingles kept for the order (any order is exact; this bounds the broadcast to 16 MB).
 HEAVY_MOST = 1 << 20
-HEAVY_LEAST = 32
+HEAVY_LEAST = 16
 #: Entries of one key's list that one task scans.
 LIST_TASK = 2048
 SMALL_MOST = 14
+#: Prefix keys that two large sets must share to become a candidate pair (fewer for tiny sets).
+SHARED = 4
 
 
 def ceil_share(n: int, num: int, den: int) -> int:
@@ -83,7 +89,7 @@ def _rows(batch: pa.RecordBatch, name: str):
 
 
 def _survey(width: int):
-    """Per task: (0, shingle, count) for shingles in three or more of its documents, (1, set size, documents), (2, 0, shingles)."""
+    """Per task: (0, shingle, count) for shingles in two or more of its documents, (1, set size, documents), (2, 0, shingles)."""
 
     def run(batches):
         held, size, hist, total = [], 0, np.zeros(64, np.int64), 0
@@ -95,7 +101,7 @@ def _survey(width: int):
             c = np.concatenate([np.ones(len(v) - len(keep_v), np.int64), keep_c])
             u, inv = np.unique(v, return_inverse=True)
             n = np.bincount(inv, weights=c).astype(np.int64) if len(u) else np.zeros(0, np.int64)
-            big = n >= (3 if last else 2)
+            big = n >= 2
             keep_v, keep_c, held, size = u[big], n[big], [], 0
 
         for b in batches:
@@ -125,7 +131,7 @@ def _survey(width: int):
 def choose_boundary(hist: dict[int, int], mean_list: float, num: int, den: int) -> int:
     """The largest size whose sets are joined by subsets, at the least estimated cost."""
     subsets = lambda n: sum(math.comb(n, k) for k in range(ceil_share(n, num, den), n + 1))
-    scan = lambda n: (n - ceil_share(n, num, den) + 1) * (1 + mean_list)
+    scan = lambda n: (n - ceil_share(n, num, den) + min(SHARED, ceil_share(n, num, den))) * (1 + mean_list)
     costs = [
         sum(c * subsets(n) for n, c in hist.items() if 0 < n <= b) + sum(c * scan(n) for n, c in hist.items() if ceil_share(b + 1, num, den) <= n <= SMALL_MOST)
         for b in range(SMALL_MOST + 1)
@@ -171,7 +177,8 @@ def _describe(width: int, num: int, den: int, boundary: int, heavy_v, heavy_c):
                 o = np.lexsort((v, cnt, r))
                 r2, v2 = r[o], v[o]
                 pos = np.arange(len(v)) - at[r2]
-                need = n - (n * num + den - 1) // den + 1
+                must = (n * num + den - 1) // den
+                need = n - must + np.minimum(SHARED, must)
                 take = (pos < need[r2]) & (n[r2] >= (ceil_share(boundary + 1, num, den)))
                 keys, pre = v2[take], np.bincount(r2[take], minlength=m)
                 total = pre.copy()
@@ -210,11 +217,17 @@ def _post(heavy_v, heavy_c):
                 k = np.minimum(np.searchsorted(hv, v), len(hv) - 1)
                 parts = np.where(hv[k] == v, hc[k], 0) // LIST_TASK + 1
                 salt = (K.mix(rep[row].view(K.U), 5) % parts.astype(K.U)).astype(np.int64)
+                heavy = (hv[k] == v) & (pos >= 0)
+            else:
+                heavy = np.zeros(len(v), bool)
+            h = np.bincount(row[heavy], minlength=len(rep))
+            keep = ~heavy | (h[row] >= SHARED)
+            v, row, pos, salt = v[keep], row[keep], pos[keep], salt[keep]
             for a in range(0, len(v), 1 << 18):
                 z = slice(a, a + (1 << 18))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(v[z])), pa.array(salt[z].astype(np.int32)), pa.array(rep[row[z]]), pa.array(n[row[z]].astype(np.int32)), pa.array(pos[z].astype(np.int32))],
-                    names=["key", "salt", "id", "n", "pos"],
+                    [pa.array(K.signed(v[z])), pa.array(salt[z].astype(np.int32)), pa.array(rep[row[z]]), pa.array(n[row[z]].astype(np.int32)), pa.array(pos[z].astype(np.int32)), pa.array(h[row[z]].astype(np.int32))],
+                    names=["key", "salt", "id", "n", "pos", "h"],
                 )
 
     return run
@@ -248,7 +261,7 @@ def _scan_lists(num: int, den: int):
 
 
 def _runs(t: pa.Table, num: int, den: int):
-    key, salt, ids, n, pos = (t[c].to_numpy() for c in ("key", "salt", "id", "n", "pos"))
+    key, salt, ids, n, pos, h = (t[c].to_numpy() for c in ("key", "salt", "id", "n", "pos", "h"))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     start = np.flatnonzero(new)
@@ -265,7 +278,7 @@ def _runs(t: pa.Table, num: int, den: int):
     prev = np.maximum(here - 1, at)
     prev = np.where(rank[prev] >= least, prev, hub)
     hub, prev = (np.where(x < here, ids[x], np.int64(-(2**63))) for x in (hub, prev))
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, n, pos, hub, prev)], names=["key", "id", "n", "pos", "hub", "prev"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, n, pos, h, hub, prev)], names=["key", "id", "n", "pos", "h", "hub", "prev"])
 
 
 def _sets(width: int):
@@ -326,47 +339,56 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
     bv, bc = spark.sparkContext.broadcast(hv), spark.sparkContext.broadcast(hc)
 
     base = store.save(docs.mapInArrow(_describe(width, num, den, boundary, bv, bc), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys binary, n_prefix int"), "base")
-    reps = store.save(
-        base.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"), F.max("n_prefix").alias("n_prefix")), "reps",
-    )
-    posted = reps.select("rep", "n_shingles", "keys", "n_prefix").mapInArrow(_post(bv, bc), "key bigint, salt int, id bigint, n int, pos int")
+    linkable = base.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles")
+    posted = (linkable.agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"), F.max("n_prefix").alias("n_prefix"))
+              .select("rep", "n_shingles", "keys", "n_prefix").mapInArrow(_post(bv, bc), "key bigint, salt int, id bigint, n int, pos int, h int"))
     lists = store.save(
         posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id")
-        .mapInArrow(_scan_lists(num, den), "key bigint, id bigint, n int, pos int, hub bigint, prev bigint"), "lists",
+        .mapInArrow(_scan_lists(num, den), "key bigint, id bigint, n int, pos int, h int, hub bigint, prev bigint"), "lists",
     )
 
-    # Round 1: each class with the earlier class that it meets in most lists.
-    met = (lists.select("id", F.explode(F.array_distinct(F.array("hub", "prev"))).alias("to"))
-           .where(f"`to` > {-(2**63)}L and `to` <> id").groupBy("id", "to").agg(F.count("*").alias("c")))
-    first = met.groupBy("id").agg(F.max(F.struct("c", "to")).alias("m")).select(F.col("m.to").alias("a"), F.col("id").alias("b"))
-    wanted = lists.select("id").distinct()
-    sets = docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
-    sets = store.save(sets.mapInArrow(_sets(width), "id bigint, set binary").groupBy("id").agg(F.min("set").alias("set")), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that reach the threshold; only the texts of documents in them are fetched."""
+        pairs = store.save(pairs, name)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "id bigint, set binary")
+        sets = store.save(sets.groupBy("id").agg(F.min("set").alias("set")), "sets")
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a bigint, b bigint")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+        out = store.save(both.mapInArrow(_verify(num, den), "a bigint, b bigint"), "edges")
+        store.drop(pairs, sets)
+        return out
 
-    edges = store.save(linked(first), "edges1")
+    # Round 1: each class with the earlier class that it meets in most lists.
+    met = (lists.select("id", F.when(F.col("pos") < 0, SHARED).otherwise(1).alias("w"), F.explode(F.array_distinct(F.array("hub", "prev"))).alias("to"))
+           .where(f"`to` > {-(2**63) + 1}L and `to` <> id").groupBy("id", "to").agg(F.sum("w").alias("c")).where("c >= 2"))
+    first = met.groupBy("id").agg(F.max(F.struct("c", "to")).alias("m")).select(F.col("m.to").alias("a"), F.col("id").alias("b"))
+    edges = linked(first, "pairs1")
     part = store.save(connected_components(edges, store), "part1")
 
     # The rest: pairs of one list that are not yet in one component.
-    at = lists.select("key", "id", "n", "pos").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    at = lists.select("key", "id", "n", "pos", "h").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     many = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    at = store.save(at.join(many, "key", "left_semi").select("key", "id", "n", "pos", "c"), "apart")
+    at = store.save(at.join(many, "key", "left_semi").select("key", "id", "n", "pos", "h", "c"), "apart")
     x, y = at.alias("x"), at.alias("y")
     fits = (F.expr(f"{num} * greatest(x.n, y.n) <= {den} * least(x.n, y.n)")
             & F.expr(f"x.pos < 0 or y.pos < 0 or {num + den} * (1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= {num} * (x.n + y.n)"))
+    must = lambda n: f"ceil({n} * {num} / {den} - 1e-9)"
+    tail = lambda n: f"({must(n)} - least({SHARED}, {must(n)}))"  # noqa: E731  shingles behind the prefix
+    unseen = f"case when hx < {SHARED} and hy < {SHARED} then least(hx, hy) when hx < {SHARED} then hx when hy < {SHARED} then hy else 0 end"
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & fits)
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    more = store.save(linked(rest), "edges2")
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"),
+                    F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), F.when(F.expr("x.pos < 0 or y.pos < 0"), 1 << 20).otherwise(1).alias("w"))
+            .groupBy("a", "b", "nx", "ny", "hx", "hy").agg(F.sum("w").alias("w"))
+            .where(f"w + {unseen} >= ceil((nx + ny) * {num} / {num + den} - 1e-9) - greatest({tail('nx')}, {tail('ny')})").select("a", "b"))
+    more = linked(rest, "pairs2")
     part2 = connected_components(edges.unionByName(more), store)
+    reps = linkable.agg(F.min("doc_id").alias("rep"))
     classes = (reps.select("s1", "s2", "n_shingles", "rep").join(part2.withColumnRenamed("node", "rep"), "rep", "left")
                .select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component")))
     classes = store.save(classes, "classes")
-    store.drop(lists, sets, part, at, edges, more)
+    store.drop(lists, part, at, edges, more)
     b = base.select("doc_id", "n_shingles", "s1", "s2")
     none = b.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = (b.where("n_shingles > 0 and doc_id is not null").alias("b")
