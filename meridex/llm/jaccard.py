@@ -11,7 +11,8 @@ become keys. The boundary between small and large minimises the estimated cost:
 enumerate against list entries to scan. Sets up to 1/t times the boundary post both kinds of key.
 
 A set posts its heavy prefix keys only when it has SHARED of them or more: any other pair must share
-a light key. With c common prefix keys, two sets have at most c + max(n - p, m - q) common shingles, p and q
+a light key. Two sets that both do meet by a heavy key only where their heavy shingles alone could reach the overlap
+they need; any others must share a light shingle, and all of these are keys of both. With c common prefix keys, two sets have at most c + max(n - p, m - q) common shingles, p and q
 being the prefix lengths; pairs that cannot reach the overlap they need are dropped before any set is read.
 
 Lists are scanned in a shuffle by key; the list of a heavy key is dealt over several tasks. A first
@@ -369,19 +370,25 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
 
     # The rest: pairs of one list that are not yet in one component.
     at = lists.select("key", "id", "n", "pos", "h").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    many = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    at = store.save(at.join(many, "key", "left_semi").select("key", "id", "n", "pos", "h", "c"), "apart")
+    # all: the heavy shingles of a whole set that posts heavy keys; the heavy ones of its keys stand last.
+    must = lambda n: f"(({n} * {num} + {den - 1}) div {den})"
+    tail = lambda n: f"({must(n)} - least({SHARED}, {must(n)}))"  # noqa: E731  shingles behind the prefix
+    at = at.withColumn("all", F.expr(f"h + {tail('n')}")).withColumn("heavy", F.expr("pos >= n - all"))
+    many = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "least_n")
+    at = at.join(many, "key").where(f"not heavy or {num} * (n + least_n) <= {num + den} * all")
+    at = store.save(at.select("key", "id", "n", "pos", "h", "all", "heavy", "c"), "apart")
     x, y = at.alias("x"), at.alias("y")
     fits = (F.expr(f"{num} * greatest(x.n, y.n) <= {den} * least(x.n, y.n)")
-            & F.expr(f"x.pos < 0 or y.pos < 0 or {num + den} * (1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= {num} * (x.n + y.n)"))
-    must = lambda n: f"ceil({n} * {num} / {den} - 1e-9)"
-    tail = lambda n: f"({must(n)} - least({SHARED}, {must(n)}))"  # noqa: E731  shingles behind the prefix
+            & F.expr(f"x.pos < 0 or y.pos < 0 or {num + den} * (1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= {num} * (x.n + y.n)")
+            & F.expr(f"not x.heavy or {num} * (x.n + y.n) <= {num + den} * least(x.all, y.all)"))
+    common = f"(((nx + ny) * {num} + {num + den - 1}) div {num + den})"  # shingles that the two must share
     unseen = f"case when hx < {SHARED} and hy < {SHARED} then least(hx, hy) when hx < {SHARED} then hx when hy < {SHARED} then hy else 0 end"
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & fits)
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"),
-                    F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), F.when(F.expr("x.pos < 0 or y.pos < 0"), 1 << 20).otherwise(1).alias("w"))
-            .groupBy("a", "b", "nx", "ny", "hx", "hy").agg(F.sum("w").alias("w"))
-            .where(f"w + {unseen} >= ceil((nx + ny) * {num} / {num + den} - 1e-9) - greatest({tail('nx')}, {tail('ny')})").select("a", "b"))
+                    F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), F.least("x.all", "y.all").alias("all"), F.when(F.expr("x.pos < 0 or y.pos < 0"), 1 << 20).otherwise(1).alias("w"))
+            .groupBy("a", "b", "nx", "ny", "hx", "hy", "all").agg(F.sum("w").alias("w"))
+            .where(f"case when least(hx, hy) >= {SHARED} and all < {common} then w + all >= {common} "
+                   f"else w + {unseen} >= {common} - greatest({tail('nx')}, {tail('ny')}) end").select("a", "b"))
     more = linked(rest, "pairs2")
     part2 = connected_components(edges.unionByName(more), store)
     reps = linkable.agg(F.min("doc_id").alias("rep"))
