@@ -16,7 +16,8 @@ they need; any others must share a light shingle, and all of these are keys of b
 being the prefix lengths; pairs that cannot reach the overlap they need are dropped before any set is read.
 
 Lists are scanned in a shuffle by key; the list of a heavy key is dealt over several tasks. A first
-round verifies for each class its most promising neighbour. Later, only pairs that are not yet in one
+round verifies for each class its most promising neighbour, hub rounds let a few classes of each list meet the others of
+it as long as that joins many. Later, only pairs that are not yet in one
 component are verified, so thousands of near copies never become all their pairs, while no link that
 would join two components is lost.
 """
@@ -43,6 +44,10 @@ LIST_TASK = 2048
 SMALL_MOST = 14
 #: Prefix keys that two large sets must share to become a candidate pair (fewer for tiny sets).
 SHARED = 4
+#: Hub rounds end at so many, or with so few pairs left for each entry, or with fewer links than an entry in so many.
+HUB_ROUNDS = 6
+HUB_LEAST = 8
+HUB_FRUIT = 200
 
 
 def ceil_share(n: int, num: int, den: int) -> int:
@@ -130,12 +135,16 @@ def _survey(width: int):
 
 
 def choose_boundary(hist: dict[int, int], mean_list: float, num: int, den: int) -> int:
-    """The largest size whose sets are joined by subsets, at the least estimated cost."""
+    """The largest size whose sets are joined by subsets, at the least estimated cost.
+
+    It may pass SMALL_MOST, so that sets of that size need not post prefix keys as well.
+    """
+    most = SMALL_MOST * den // num
     subsets = lambda n: sum(math.comb(n, k) for k in range(ceil_share(n, num, den), n + 1))
     scan = lambda n: (n - ceil_share(n, num, den) + min(SHARED, ceil_share(n, num, den))) * (1 + mean_list)
     costs = [
-        sum(c * subsets(n) for n, c in hist.items() if 0 < n <= b) + sum(c * scan(n) for n, c in hist.items() if ceil_share(b + 1, num, den) <= n <= SMALL_MOST)
-        for b in range(SMALL_MOST + 1)
+        sum(c * subsets(n) for n, c in hist.items() if 0 < n <= b) + sum(c * scan(n) for n, c in hist.items() if ceil_share(b + 1, num, den) <= n <= most)
+        for b in range(most + 1)
     ]
     return int(np.argmin(costs))
 
@@ -368,29 +377,56 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
     edges = linked(first, "pairs1")
     part = store.save(connected_components(edges, store), "part1")
 
-    # The rest: pairs of one list that are not yet in one component.
-    at = lists.select("key", "id", "n", "pos", "h").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     # all: the heavy shingles of a whole set that posts heavy keys; the heavy ones of its keys stand last.
     must = lambda n: f"(({n} * {num} + {den - 1}) div {den})"
     tail = lambda n: f"({must(n)} - least({SHARED}, {must(n)}))"  # noqa: E731  shingles behind the prefix
-    at = at.withColumn("all", F.expr(f"h + {tail('n')}")).withColumn("heavy", F.expr("pos >= n - all"))
-    many = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "least_n")
-    at = at.join(many, "key").where(f"not heavy or {num} * (n + least_n) <= {num + den} * all")
-    at = store.save(at.select("key", "id", "n", "pos", "h", "all", "heavy", "c"), "apart")
-    x, y = at.alias("x"), at.alias("y")
     fits = (F.expr(f"{num} * greatest(x.n, y.n) <= {den} * least(x.n, y.n)")
             & F.expr(f"x.pos < 0 or y.pos < 0 or {num + den} * (1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= {num} * (x.n + y.n)")
             & F.expr(f"not x.heavy or {num} * (x.n + y.n) <= {num + den} * least(x.all, y.all)"))
+    weight = F.when(F.expr("x.pos < 0 or y.pos < 0"), 1 << 20).otherwise(1).alias("w")
+
+    def unjoined(entries: DataFrame, part: DataFrame) -> DataFrame:
+        """Entries of the lists that hold more than one component, where they may link with another entry."""
+        at = entries.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+        many = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "least_n")
+        at = at.join(many, "key").where(f"not heavy or {num} * (n + least_n) <= {num + den} * all")
+        return store.save(at.select("key", "id", "n", "pos", "h", "all", "heavy", "c"), "apart")
+
+    entries = lists.select("key", "id", "n", "pos", "h").withColumn("all", F.expr(f"h + {tail('n')}")).withColumn("heavy", F.expr("pos >= n - all"))
+    at = unjoined(entries, part)
+    links = edges
+    # Hub rounds: two classes of each list, the same in many lists, meet the list's other components. They only save
+    # work, growing with the entries; what they leave apart is joined in full below.
+    for k in range(HUB_ROUNDS):
+        sizes = at.groupBy("key", "c").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
+        left = sizes.agg(F.sum("s").alias("entries"), (F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
+        if not left.entries or left.pairs <= HUB_LEAST * left.entries:
+            break
+        hub = F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "key", "id", "n", "pos", "all", "c")
+        hubs = at.groupBy("key").agg(F.array(F.min(hub), F.max(hub)).alias("hubs")).select(F.explode("hubs").alias("y")).select("y.*")
+        met = (at.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & fits)
+               .select(F.col("x.id").alias("b"), F.col("y.id").alias("a"), weight).groupBy("a", "b").agg(F.sum("w").alias("w")))
+        new = linked(met.groupBy("b").agg(F.max(F.struct("w", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "hubs")
+        found = new.count()
+        if found:
+            links = links.unionByName(new)
+            part = connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), store)
+            at = unjoined(at.drop("c"), part)
+        if found * HUB_FRUIT < left.entries:
+            break
+
+    # The rest: pairs of one list that are not yet in one component.
+    x, y = at.alias("x"), at.alias("y")
     common = f"(((nx + ny) * {num} + {num + den - 1}) div {num + den})"  # shingles that the two must share
     unseen = f"case when hx < {SHARED} and hy < {SHARED} then least(hx, hy) when hx < {SHARED} then hx when hy < {SHARED} then hy else 0 end"
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & fits)
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"),
-                    F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), F.least("x.all", "y.all").alias("all"), F.when(F.expr("x.pos < 0 or y.pos < 0"), 1 << 20).otherwise(1).alias("w"))
+                    F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), F.least("x.all", "y.all").alias("all"), weight)
             .groupBy("a", "b", "nx", "ny", "hx", "hy", "all").agg(F.sum("w").alias("w"))
             .where(f"case when least(hx, hy) >= {SHARED} and all < {common} then w + all >= {common} "
                    f"else w + {unseen} >= {common} - greatest({tail('nx')}, {tail('ny')}) end").select("a", "b"))
     more = linked(rest, "pairs2")
-    part2 = connected_components(edges.unionByName(more), store)
+    part2 = connected_components(links.unionByName(more), store)
     reps = linkable.agg(F.min("doc_id").alias("rep"))
     classes = (reps.select("s1", "s2", "n_shingles", "rep").join(part2.withColumnRenamed("node", "rep"), "rep", "left")
                .select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component")))

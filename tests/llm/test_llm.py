@@ -134,6 +134,33 @@ def test_subset_keys_join_small_sets(spark, store, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_components(d, store).collect())) == plain
 
 
+def test_jaccard_crowds(spark, store, monkeypatch):
+    """A passage that many share without being linked, and many near copies of one text, through hub rounds."""
+    from meridex.llm import jaccard
+
+    rng = random.Random(3)
+    passage, base = ["p%d" % i for i in range(40)], ["b%d" % i for i in range(60)]
+    texts = [passage + ["q%d_%d" % (i, k) for k in range(i % 11)] for i in range(60)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(60)] = "e%d" % rng.randrange(1000)
+        texts.append(w)
+    monkeypatch.setattr(jaccard, "HEAVY_LEAST", 4)
+    monkeypatch.setattr(jaccard, "HUB_LEAST", 0)
+    monkeypatch.setattr(jaccard, "HUB_FRUIT", 10**9)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in texts]
+    comp = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            k = len(sets[x] & sets[y])
+            if 100 * k >= 80 * (len(sets[x]) + len(sets[y]) - k) and comp[x] != comp[y]:
+                lo, hi = sorted((comp[x], comp[y]))
+                comp = [lo if c == hi else c for c in comp]
+    got = jaccard.jaccard_components(make(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)]), store)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(comp))
+
+
 def test_mixing(spark, store, docs):
     from meridex.llm.mixing import mix, mix_rows, schedule, targets
 
