@@ -47,7 +47,7 @@ SHARED = 4
 #: Hub rounds end at so many, or with so few pairs left for each entry, or with fewer links than an entry in so many.
 HUB_ROUNDS = 6
 HUB_LEAST = 8
-HUB_FRUIT = 200
+HUB_FRUIT = 2000
 
 
 def ceil_share(n: int, num: int, den: int) -> int:
@@ -402,7 +402,8 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
         left = sizes.agg(F.sum("s").alias("entries"), (F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
         if not left.entries or left.pairs <= HUB_LEAST * left.entries:
             break
-        hub = F.struct(F.xxhash64("id", F.lit(k)).alias("r"), "key", "id", "n", "pos", "all", "c")
+        rare = F.expr("n - all") if k == 0 else F.lit(0)  # a class with few rare shingles stands amid its near copies
+        hub = F.struct(rare.alias("rare"), F.xxhash64("id", F.lit(k)).alias("r"), "key", "id", "n", "pos", "all", "c")
         hubs = at.groupBy("key").agg(F.array(F.min(hub), F.max(hub)).alias("hubs")).select(F.explode("hubs").alias("y")).select("y.*")
         met = (at.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & fits)
                .select(F.col("x.id").alias("b"), F.col("y.id").alias("a"), weight).groupBy("a", "b").agg(F.sum("w").alias("w")))
