@@ -209,7 +209,7 @@ def _describe(width: int, num: int, den: int, boundary: int, heavy_v, heavy_c):
 
 
 def _post(heavy_v, heavy_c):
-    """A row for each key of each class; salt deals a heavy key's list over tasks."""
+    """A row for each key of each class; salt deals a heavy key's list over tasks: 0 for a whole list, from 1 on for one in parts."""
 
     def run(batches):
         hv, hc = heavy_v.value, heavy_c.value
@@ -226,7 +226,7 @@ def _post(heavy_v, heavy_c):
             if len(hv) and len(v):
                 k = np.minimum(np.searchsorted(hv, v), len(hv) - 1)
                 parts = np.where(hv[k] == v, hc[k], 0) // LIST_TASK + 1
-                salt = (K.mix(rep[row].view(K.U), 5) % parts.astype(K.U)).astype(np.int64)
+                salt = np.where(parts > 1, 1 + (K.mix(rep[row].view(K.U), 5) % parts.astype(K.U)).astype(np.int64), 0)
                 heavy = (hv[k] == v) & (pos >= 0)
             else:
                 heavy = np.zeros(len(v), bool)

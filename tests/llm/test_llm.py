@@ -161,6 +161,21 @@ def test_jaccard_crowds(spark, store, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(comp))
 
 
+def test_jaccard_lists_in_parts(spark, store, monkeypatch):
+    """A near copy of many exact copies: two classes, alone in the parts of the lists where they meet."""
+    from meridex.llm import jaccard
+
+    rows, want = [], {}
+    for g in range(12):
+        w = ["g%dw%d" % (g, k) for k in range(60)]
+        for k in range(21):
+            rows.append((100 * g + k, " ".join(w if k else [*w[:-1], "other"]), "s"))
+            want[100 * g + k] = 100 * g
+    monkeypatch.setattr(jaccard, "HEAVY_LEAST", 4)
+    monkeypatch.setattr(jaccard, "LIST_TASK", 8)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(make(spark, rows), store).collect()} == want
+
+
 def test_mixing(spark, store, docs):
     from meridex.llm.mixing import mix, mix_rows, schedule, targets
 
