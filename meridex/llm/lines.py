@@ -1,11 +1,11 @@
 """Fuzzy line de-duplication: one occurrence of each group of near-equal lines stays in the corpus.
 
 Lines are normalised to their lower-case words (runs of letters; digits, marks and blanks only part words).
-Equal normalised lines form a class, by a 128-bit hash. Each class has a 64-bit SimHash of its words. Two classes
-whose SimHashes differ in at most BITS bits agree in some m - BITS of m blocks; classes meet in lists of such block
-values, m being the number of blocks of the least estimated cost. Candidates are verified by edit similarity
-of the normalised lines, linked classes form groups, and of each group the first occurrence, by doc_id and line,
-is kept.
+Equal normalised lines form a class, by a 128-bit hash. Each class has minima of the hashes of its runs of GRAM
+characters, one for each of a number of bins; classes meet in lists of bands of such minima. Bands are so many that at
+most a share MISSED of the pairs with a Jaccard index LEAST of these runs meets in none; that is about what typing errors
+all over a line leave at the edit similarity asked for. Candidates are verified by edit similarity of the normalised
+lines, linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
 
 As in the shingle join, a first round verifies each class with two neighbours of its lists; then only pairs not yet
 in one group are verified, so a crowd of near copies never becomes all its pairs and no link that matters is lost.
@@ -13,8 +13,7 @@ in one group are verified, so a crowd of near copies never becomes all its pairs
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +24,95 @@ from meridex.llm import _kit as K
 from meridex.operators.graph import connected_components
 from meridex.session import Store
 
-BITS = 3
 SIMILARITY = 0.9
+GRAM = 8
+LEAST, MISSED = 0.33, 0.025
 #: Lines of fewer words are too common by chance to tell a copy; they always stay.
 WORDS_LEAST = 5
 
 _APART = np.ones(256, bool)
 _APART[97:123] = False
 _APART[128:] = False
-_SPREAD = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)  # a byte's bits as eight lanes
 
 
-def simhash(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Majority bits of the word hashes of each line; starts: where each line's words begin in h (no line is empty)."""
-    n = len(h)
-    seg = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    at = np.flatnonzero(seg % 255 == 0)  # lanes of 8 bits count up to 255 words
-    lanes = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], at, axis=0)
-    ones = lanes.view(np.uint8).reshape(len(at), 64).astype(np.int64)
-    ones = np.add.reduceat(ones, np.searchsorted(at, starts), axis=0)
-    words = np.diff(np.append(starts, n))
-    return np.packbits(2 * ones > words[:, None], axis=1).view(np.uint64).ravel()
+def sketches(raw: np.ndarray, s: np.ndarray, e: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
+    """Minima of 32-bit hashes of the runs of GRAM characters, by line and bin; starts: where each line's words begin in s.
+
+    The words of a line count as joined by blanks. A bin without runs takes the minimum of another; bins is a prime.
+    """
+    step = np.zeros(len(raw) + 2, np.int8)
+    step[s] += 1
+    step[e + 1] -= 1  # a word with the byte behind it
+    inside = np.cumsum(step[:-1]) > 0
+    text = np.append(raw, np.uint8(32))
+    text[e] = 32
+    text = text[inside]
+    new = np.cumsum(inside) - 1  # places in text
+    lo, hi = new[s[starts]], np.append(new[s[starts[1:]]], len(text)) - 1  # without the last blank
+    char = np.flatnonzero((text & 0xC0) != 0x80)
+    a, z = np.searchsorted(char, lo), np.searchsorted(char, hi)
+    runs = np.maximum(z - a - GRAM + 1, 1)
+    line = np.repeat(np.arange(len(starts)), runs)
+    first = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs - a, runs)
+    h = K.hashes(text, char[first], np.append(char, len(text))[np.minimum(first + GRAM, z[line])])
+    at = ((h >> K.U(32)) * K.U(bins)) >> K.U(32)
+    least = np.full(len(starts) * bins, 2**32, np.uint64)
+    np.minimum.at(least, line * bins + at.astype(np.int64), h & K.U(2**32 - 1))
+    least = least.reshape(-1, bins)
+    rows, cols = np.nonzero(least == 2**32)
+    if len(rows):
+        full = least.copy()
+        for k in range(1, bins):  # each bin looks through the others in an order of its own
+            got = least[rows, (cols + k * (1 + cols % (bins - 1))) % bins]
+            ok = got < 2**32
+            full[rows[ok], cols[ok]] = got[ok]
+            rows, cols = rows[~ok], cols[~ok]
+            if not len(rows):
+                break
+        least = full
+    return least
+
+
+def _lines(batch):
+    """Lines of WORDS_LEAST words or more: their rows, numbers, hashes and characters; the bytes, words, and each line's first word."""
+    texts = batch.column("text")
+    _, off0 = K.utf8(texts)
+    for i, j in K.pieces(off0):
+        low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
+        raw = np.frombuffer(b"".join(x + b"\n" for x in low), np.uint8)  # so a byte stands behind each word
+        off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in low])]).astype(np.int64)
+        s, e, row = K.words(raw, off, _APART)
+        if not len(s):
+            continue
+        breaks = np.flatnonzero(raw == 10)
+        line = np.searchsorted(breaks, s) - np.searchsorted(breaks, off[row])
+        new = np.ones(len(s), bool)
+        new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(s)))
+        ok = n >= WORDS_LEAST
+        use = np.repeat(ok, n)
+        s, e, n, row, line = s[use], e[use], n[ok], row[at][ok] + i, line[at][ok]
+        if not len(s):
+            continue
+        at = np.cumsum(n) - n
+        h = K.hashes(raw, s, e)
+        pos = (np.arange(len(s)) - np.repeat(at, n)).astype(K.U)
+        count = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        chars = np.add.reduceat(count[e] - count[s], at) + n - 1
+        with np.errstate(over="ignore"):
+            l1, l2 = (K.mix(np.add.reduceat(K.mix(h + pos * K.U(0x9E3779B97F4A7C15), salt), at), salt) for salt in (21, 22))
+        yield row, line, l1, l2, chars, raw, s, e, at
 
 
 def _describe(batches):
-    """A row per line of WORDS_LEAST words or more: its document's key, place, hash and SimHash."""
+    """A row per line of WORDS_LEAST words or more: its document's key, place and hash."""
     for b in batches:
-        texts = b.column("text")
-        _, off0 = K.utf8(texts)
-        for i, j in K.pieces(off0):
-            low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
-            raw = np.frombuffer(b"".join(low), np.uint8)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int64)
-            s, e, row = K.words(raw, off, _APART)
-            if not len(s):
-                continue
-            breaks = np.flatnonzero(raw == 10)
-            line = np.searchsorted(breaks, s) - np.searchsorted(breaks, off[row])
-            h = K.hashes(raw, s, e)
-            new = np.ones(len(s), bool)
-            new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(s)))
-            pos = (np.arange(len(s)) - np.repeat(at, n)).astype(K.U)
-            chars = np.add.reduceat(e - s, at) + n - 1
-            with np.errstate(over="ignore"):
-                l1, l2 = (K.mix(np.add.reduceat(K.mix(h + pos * K.U(0x9E3779B97F4A7C15), salt), at), salt) for salt in (21, 22))
-            ok = n >= WORDS_LEAST
-            sim = simhash(h, at)
-            keep = row[at][ok] + i
+        for row, line, l1, l2, chars, *_ in _lines(b):
+            keep = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [b.column("dk").take(pa.array(keep)), b.column("doc_id").take(pa.array(keep)), pa.array(line[at][ok].astype(np.int32)), pa.array(K.signed(l1[ok])), pa.array(K.signed(l2[ok])),
-                 pa.array(K.signed(sim[ok])), pa.array(chars[ok].astype(np.int32))],
-                names=["dk", "doc_id", "line", "l1", "l2", "sim", "chars"])
+                [b.column("dk").take(keep), b.column("doc_id").take(keep), pa.array(line.astype(np.int32)), pa.array(K.signed(l1)), pa.array(K.signed(l2)), pa.array(chars.astype(np.int32))],
+                names=["dk", "doc_id", "line", "l1", "l2", "chars"])
 
 
 def normalise(line: str) -> str:
@@ -99,25 +134,53 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "t"])
 
 
-def blocks_for(n: int) -> int:
-    """The number of blocks whose keys and expected meetings of n lines cost least."""
-    cost = lambda m: n * comb(m, BITS) * (1 + 0.02 * n / 2 ** (64 * (m - BITS) / m))
-    return min(range(BITS + 1, 12), key=cost)
+def bands_for(n: int) -> tuple[int, int]:
+    """Bands, and minima in each, whose keys and expected meetings of n lines cost least."""
+    bands = lambda r: ceil(log(MISSED) / log(1 - LEAST**r))
+    cost = lambda r: bands(r) * (1 + 0.1 * n * 5e-6 * 0.025 ** (r - 2))  # noqa: E731  chance meetings of unlike lines
+    r = min(range(2, 5), key=cost)
+    return bands(r), r
 
 
-def _post(m: int):
-    edges = [64 * i // m for i in range(m + 1)]
-    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in c) for c in combinations(range(m), m - BITS)]
+def _post(bands: int, width: int):
+    """A row for each band of each class that a task has."""
+    bins = next(p for p in range(bands * width, 2 * bands * width) if all(p % k for k in range(2, p)))
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            sim = b.column("sim").to_numpy().view(K.U)
-            for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(K.mix(sim & K.U(mask), k))), b.column("sim"), b.column("id"), b.column("chars")], names=["key", "sim", "id", "chars"])
+            for *_, l1, _, chars, raw, s, e, at in _lines(b):
+                new = np.zeros(len(l1), bool)
+                for k, x in enumerate(l1.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new[k] = True
+                if not new.any():
+                    continue
+                use = np.repeat(new, np.diff(np.append(at, len(s))))
+                n = np.diff(np.append(at, len(s)))[new]
+                least = sketches(raw, s[use], e[use], np.cumsum(n) - n, bins)
+                ids, size = pa.array(K.signed(l1[new])), pa.array(chars[new].astype(np.int32))
+                for k in range(bands):
+                    key = np.zeros(len(n), K.U)
+                    for j in range(k * width, (k + 1) * width):
+                        key = K.mix(key ^ least[:, j], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), ids, size], names=["key", "id", "chars"])
 
     return run
 
 
+def _shared(batches):
+    """The entries of lists with two classes or more, each once."""
+    for key, chars, ids in _runs(batches, ("key", "chars", "id")):
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        key, chars, ids = key[once], chars[once], ids[once]
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        keep = same[1:] | same[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, chars)], names=["key", "id", "chars"])
+
+
 def _runs(batches, names):
     """Columns of whole runs of equal key, one block of many runs after another."""
     tail = None
@@ -137,23 +200,22 @@ def _runs(batches, names):
         yield [tail[c].to_numpy() for c in names]
 
 
-def _near(sim, chars, x, y):
-    """Whether pairs of rows differ in at most BITS bits and fit in length."""
-    near = np.bitwise_count(sim[x].view(K.U) ^ sim[y].view(K.U)) <= BITS
+def _near(chars, x, y):
+    """Whether pairs of rows fit in length."""
     lo, hi = np.minimum(chars[x], chars[y]), np.maximum(chars[x], chars[y])
-    return near & (lo >= SIMILARITY * hi - 1e-9)
+    return lo >= SIMILARITY * hi - 1e-9
 
 
 def _first(batches):
     """Each class with the nearest before it, and the first, of its list, where they may be alike."""
-    for key, sim, ids, chars in _runs(batches, ("key", "sim", "id", "chars")):
+    for key, ids, chars in _runs(batches, ("key", "id", "chars")):
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         start = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(key))))
         here = np.arange(len(key))
         a, b = [], []
         for to in (start, np.maximum(here - 1, start)):
-            ok = (to < here) & (ids[to] != ids) & _near(sim, chars, to, here)
+            ok = (to < here) & (ids[to] != ids) & _near(chars, to, here)
             a.append(np.minimum(ids[to[ok]], ids[ok]))
             b.append(np.maximum(ids[to[ok]], ids[ok]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
@@ -162,7 +224,7 @@ def _first(batches):
 
 def _rest(batches):
     """All pairs of a list that may be alike and stand in different groups so far."""
-    for key, sim, ids, chars, comp in _runs(batches, ("key", "sim", "id", "chars", "c")):
+    for key, ids, chars, comp in _runs(batches, ("key", "id", "chars", "c")):
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(at, len(key)))
         found = [np.zeros((2, 0), np.int64)]
@@ -173,7 +235,7 @@ def _rest(batches):
             y = x + gap
             apart = comp[x] != comp[y]
             x, y = x[apart], y[apart]
-            ok = _near(sim, chars, x, y)
+            ok = _near(chars, x, y)
             x, y = x[ok], y[ok]
             if len(x):
                 found.append(np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1))
@@ -183,12 +245,12 @@ def _rest(batches):
 
 def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): every line with its document key dk and class id; the group of each class that has a near copy."""
-    lines = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_describe, "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint, sim bigint, chars int"), "lines")
+    lines = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_describe, "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint, chars int"), "lines")
     # The class id is the first half of its hash; of the vanishingly few classes that share it, the others stand alone.
-    classes = lines.groupBy("l1", "l2", "sim", "chars").agg(F.min(F.struct("dk", "line")).alias("at"))
-    classes = store.save(classes.select(F.col("l1").alias("id"), "sim", "chars", "at"), "classes")
-    posted = classes.mapInArrow(_post(blocks_for(classes.count())), "key bigint, sim bigint, id bigint, chars int")
-    posted = posted.repartition("key")
+    classes = lines.groupBy("l1", "l2", "chars").agg(F.min(F.struct("dk", "line")).alias("at"))
+    classes = store.save(classes.select(F.col("l1").alias("id"), "chars", "at"), "classes")
+    posted = docs.select("text").mapInArrow(_post(*bands_for(classes.count())), "key bigint, id bigint, chars int")
+    posted = store.save(posted.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_shared, "key bigint, id bigint, chars int"), "lists")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.save(pairs.distinct(), name)
@@ -202,12 +264,12 @@ def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         store.drop(pairs, texts)
         return out
 
-    links = linked(posted.sortWithinPartitions("key", "sim", "id").mapInArrow(_first, "a bigint, b bigint"), "near1")
+    links = linked(posted.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_first, "a bigint, b bigint"), "near1")
     part = store.save(connected_components(links, store), "part")
-    at = posted.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "sim", "id", "chars", F.coalesce("component", "id").alias("c"))
-    more = linked(at.repartition("key").sortWithinPartitions("key", "sim", "id").mapInArrow(_rest, "a bigint, b bigint"), "near2")
+    at = posted.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "chars", F.coalesce("component", "id").alias("c"))
+    more = linked(at.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_rest, "a bigint, b bigint"), "near2")
     groups = store.save(connected_components(links.unionByName(more), store).withColumnRenamed("node", "l1"), "groups")
-    store.drop(classes, links, more, part)
+    store.drop(classes, posted, links, more, part)
     return lines, groups
 
 

@@ -230,6 +230,41 @@ def test_lines(spark, store, docs):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.agg({"n_removed": "sum"}).first()[0] >= want
 
 
+def test_near_lines(spark, store):
+    """Lines with typing errors and changed words, up to the edit similarity asked for, against brute force."""
+    from meridex.llm.lines import dedup_lines
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            prev, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                prev, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, prev + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz\u00e9", k=rng.randint(2, 10)))
+    rows, near = [], set()
+    for i in range(300):
+        line = " ".join(word() for _ in range((8, 15, 30, 60)[i % 4]))
+        other = list(line)
+        if i % 3:
+            for k in rng.sample([k for k, c in enumerate(line) if c != " "], int(len(line) * (0.03, 0.06, 0.095)[i // 4 % 3])):
+                other[k] = rng.choice("abcdefghij")
+            other = "".join(other)
+        else:
+            other = line.split(" ")
+            for _ in range(1 + len(other) // 20):
+                other[rng.randrange(len(other))] = word()
+            other = " ".join(other)
+        rows += [(i, line, "s"), (1000 + i, other, "s")]
+        if distance(line, other) <= 0.1 * max(len(line), len(other)):
+            near.add(1000 + i)
+    gone = {r.doc_id for r in dedup_lines(make(spark, rows), store).where("n_removed > 0").collect()}
+    assert len(near) > 200 and gone <= near
+    assert len(gone) >= 0.95 * len(near)
+
+
 def test_pitman_yor(spark, store, docs):
     from meridex.llm.pitman_yor import log_stirling, score_documents, seat
 
