@@ -27,14 +27,25 @@ from meridex.session import Store
 SIMILARITY = 0.9
 GRAM = 8
 LEAST, MISSED = 0.33, 0.025
-#: Lines of fewer words are too common by chance to tell a copy; they always stay.
+#: Lines of fewer words are too common by chance to tell a copy; they stay unless they have CHARS_LEAST bytes that are not blank.
+#: Then they are copies where these are equal in full, as words alone do not tell lines of digits and marks apart.
 WORDS_LEAST = 5
+CHARS_LEAST = 25
 
 _APART = np.ones(256, bool)
 _APART[97:123] = False
 _APART[128:] = False
 
 
+def _unspaced(raw: np.ndarray) -> np.ndarray:
+    """Whether a character of a script without blanks begins at a byte: Thai, Lao, Burmese, Khmer, kana and Chinese characters."""
+    a, b, c = raw, np.append(raw[1:], np.uint8(0)), np.append(raw[2:], np.zeros(min(2, len(raw)), np.uint8))[: len(raw)]
+    south = (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)
+    khmer = (a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F))
+    east = ((a == 0xE3) & (b > 0x80)) | ((a >= 0xE4) & (a <= 0xE9)) | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)) | ((a == 0xEF) & ((b == 0xBD) & (c >= 0xA6) | (b == 0xBE)))
+    return south | khmer | east | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xBF))
+
+
 def sketches(raw: np.ndarray, s: np.ndarray, e: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
     """Minima of 32-bit hashes of the runs of GRAM characters, by line and bin; starts: where each line's words begin in s.
 
@@ -73,8 +84,12 @@ def sketches(raw: np.ndarray, s: np.ndarray, e: np.ndarray, starts: np.ndarray,
     return least
 
 
-def _lines(batch):
-    """Lines of WORDS_LEAST words or more: their rows, numbers, hashes and characters; the bytes, words, and each line's first word."""
+def _lines(batch, few: bool = False):
+    """Lines of WORDS_LEAST words or more: their rows, numbers, hashes and characters; the bytes, words, and each line's first word.
+
+    Each character of a script without blanks counts as a word. With few, also the rows, numbers, hashes and characters of the
+    other lines of CHARS_LEAST bytes or more.
+    """
     texts = batch.column("text")
     _, off0 = K.utf8(texts)
     for i, j in K.pieces(off0):
@@ -82,15 +97,19 @@ def _lines(batch):
         raw = np.frombuffer(b"".join(x + b"\n" for x in low), np.uint8)  # so a byte stands behind each word
         off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in low])]).astype(np.int64)
         s, e, row = K.words(raw, off, _APART)
+        breaks = np.flatnonzero(raw == 10)
+        char = _unspaced(raw)
+        char = np.concatenate([[0], np.cumsum(char)])
+        where = np.searchsorted(breaks, s)  # the line among all
+        words = np.bincount(where, weights=np.maximum(char[e] - char[s], 1), minlength=len(breaks))
+        if few:
+            yield _exact(raw, off, breaks, words < WORDS_LEAST, i)
         if not len(s):
             continue
-        breaks = np.flatnonzero(raw == 10)
-        line = np.searchsorted(breaks, s) - np.searchsorted(breaks, off[row])
-        new = np.ones(len(s), bool)
-        new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-        at = np.flatnonzero(new)
+        line = where - np.searchsorted(breaks, off[row])
+        at = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         n = np.diff(np.append(at, len(s)))
-        ok = n >= WORDS_LEAST
+        ok = words[where[at]] >= WORDS_LEAST
         use = np.repeat(ok, n)
         s, e, n, row, line = s[use], e[use], n[ok], row[at][ok] + i, line[at][ok]
         if not len(s):
@@ -105,10 +124,29 @@ def _lines(batch):
         yield row, line, l1, l2, chars, raw, s, e, at
 
 
+def _exact(raw, off, breaks, ok, i):
+    """Rows, numbers, hashes and characters of those lines that are `ok` and have CHARS_LEAST bytes or more besides blanks."""
+    s, e, row = K.words(raw, off)
+    where = np.searchsorted(breaks, s)
+    ok = ok & (np.bincount(where, weights=e - s, minlength=len(breaks)) >= CHARS_LEAST)
+    use = ok[where]
+    s, e, row, where = s[use], e[use], row[use], where[use]
+    at = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(s) else np.zeros(0, np.int64)
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return z, z, z.view(K.U), z.view(K.U), z
+    n = np.diff(np.append(at, len(s)))
+    pos = (np.arange(len(s)) - np.repeat(at, n)).astype(K.U)
+    h = K.hashes(raw, s, e, 1)
+    with np.errstate(over="ignore"):
+        l1, l2 = (K.mix(np.add.reduceat(K.mix(h + pos * K.U(0x9E3779B97F4A7C15), salt), at), salt) for salt in (23, 24))
+    return row[at] + i, where[at] - np.searchsorted(breaks, off[row[at]]), l1, l2, np.add.reduceat(e - s, at) + n - 1
+
+
 def _describe(batches):
-    """A row per line of WORDS_LEAST words or more: its document's key, place and hash."""
+    """A row per line that may be a copy: its document's key, place and hash."""
     for b in batches:
-        for row, line, l1, l2, chars, *_ in _lines(b):
+        for row, line, l1, l2, chars, *_ in _lines(b, True):
             keep = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [b.column("dk").take(keep), b.column("doc_id").take(keep), pa.array(line.astype(np.int32)), pa.array(K.signed(l1)), pa.array(K.signed(l2)), pa.array(chars.astype(np.int32))],
@@ -277,7 +315,8 @@ def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
     """The rows of docs with every line removed that repeats an earlier line, exactly or nearly; and n_lines, n_removed.
 
     The first occurrence, by doc_id (null last), then text hash, then line number, stays; so do lines of fewer than
-    WORDS_LEAST words. Null texts stay null with 0 lines; a document of copies alone becomes an empty text. Rows equal
+    WORDS_LEAST words and CHARS_LEAST bytes; those of fewer words and more bytes go where they repeat a line exactly, but for case and
+    blanks. A character of a script without blanks counts as a word. Null texts stay null with 0 lines; a document of copies alone becomes an empty text. Rows equal
     in doc_id and text get the same result. Other columns stay as they are, whatever their names; an empty
     table gives an empty result. Columns of docs named n_lines or n_removed are replaced.
     """

@@ -230,6 +230,20 @@ def test_lines(spark, store, docs):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.agg({"n_removed": "sum"}).first()[0] >= want
 
 
+def test_lines_without_words(spark, store):
+    """Scripts without blanks, and lines of digits and marks."""
+    from meridex.llm.lines import dedup_lines
+
+    rng = random.Random(6)
+    han, thai = ("".join(chr(rng.randrange(*r)) for _ in range(80)) for r in ((0x4E00, 0x9000), (0x0E01, 0x0E2F)))
+    digits = " ".join(str(rng.randrange(1000, 9999)) for _ in range(12))
+    lines = [han, thai, digits, "id " + digits, digits[:-1] + "x", "1 2 3", "\u4e2d\u6587"]
+    near = han[:40] + "\u4e00" + han[41:]
+    rows = [(1, "\n".join(lines), "s"), (2, "\n".join(lines), "s"), (3, near, "s"), (4, digits[::-1], "s"), (5, digits.replace(" ", "  "), "s")]
+    got = {r.doc_id: r.text for r in dedup_lines(make(spark, rows), store).collect()}
+    assert got == {1: rows[0][1], 2: "1 2 3\n\u4e2d\u6587", 3: "", 4: digits[::-1], 5: ""}
+
+
 def test_near_lines(spark, store):
     """Lines with typing errors and changed words, up to the edit similarity asked for, against brute force."""
     from meridex.llm.lines import dedup_lines
