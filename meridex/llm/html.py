@@ -6,9 +6,10 @@ optional, and texts become slots that note whether they vary. The result is the
 regular expression over tags, slots, repeated groups `(...)+` and optional parts `?`. Wrappers are built per task over
 all of its pages and then aligned with each other per host, so a host's pages never meet in one task.
 
-A slot belongs to the main text by where it stands in the wrapper (in an article or main element if the host has
-one, else in the container with most of the varying text) and not in a menu, header, footer, sidebar, notice, advert,
-form or comment section. Each page is matched with its host's wrapper and the texts of its content slots are joined.
+A text belongs to the main text by where it stands (in an article or main element if its page has text in one, else in
+the container with most of the host's varying text) and not in a menu, header, footer, sidebar, notice, advert, form or
+comment section. Pages of the second kind are matched with their host's wrapper and the texts of its content slots are
+joined; texts that match no slot count by their own path.
 """
 
 from __future__ import annotations
@@ -113,6 +114,11 @@ def fold(stream: list[str]) -> list[tuple]:
     return items
 
 
+def _core(path: str) -> bool:
+    """Whether a text's path is in an article or main element and not outside the main text."""
+    return "!" not in path and not {"article", "main"}.isdisjoint(path.split("/"))
+
+
 class Wrapper:
     """parts: [key, optional, slots]; a slot: [path, pages, characters, its one text or None where it varies]."""
 
@@ -153,21 +159,18 @@ class Wrapper:
         say = lambda k: k if isinstance(k, str) else "(" + "".join(map(say, k[1])) + ")+"
         return "".join(f"({say(k)})?" if o else say(k) for k, o, _ in self.parts)
 
-    def content(self) -> set[tuple[int, int]]:
-        """(part, slot) of the main text."""
+    def content(self) -> tuple[set[tuple[int, int]], tuple]:
+        """For pages without text in an article or main element: (part, slot) of the main text, and the path of its container."""
         slots = [(i, j, s) for i, p in enumerate(self.parts) for j, s in enumerate(p[2])]
-        inside = [(i, j, s) for i, j, s in slots if "!" not in s[0]]
-        core = [(i, j, s) for i, j, s in inside if {"article", "main"} & set(s[0].split("/"))]
-        if core:
-            return {(i, j) for i, j, _ in core}
-        varying = [(i, j, s) for i, j, s in inside if s[3] is None or self.pages < 3]
+        # a slot of fewer than three pages may vary, whatever it says on these
+        varying = [(i, j, s) for i, j, s in slots if "!" not in s[0] and not _core(s[0]) and (s[3] is None or s[1] < 3)]
         total, by = sum(s[2] for *_, s in varying), {}
         for *_, s in varying:
             path = s[0].split("/")
             for k in range(len(path) + 1):
                 by[tuple(path[:k])] = by.get(tuple(path[:k]), 0) + s[2]
         best = max((p for p, c in by.items() if c >= 0.6 * total and not (p and p[-1] in ("p", "b", "i", "a", "span", "em", "strong"))), key=len, default=())
-        return {(i, j) for i, j, s in varying if tuple(s[0].split("/"))[: len(best)] == best}
+        return {(i, j) for i, j, s in varying if tuple(s[0].split("/"))[: len(best)] == best}, best
 
     def dumps(self) -> str:
         return json.dumps([self.pages, self.parts])
@@ -185,23 +188,30 @@ def _opcodes(a: tuple, b: tuple) -> list:
 
 
 @lru_cache(maxsize=512)
-def _known(dumped: str) -> tuple[tuple, frozenset]:
+def _known(dumped: str) -> tuple[tuple, list, frozenset, tuple]:
     w = Wrapper.loads(dumped)
-    return tuple(p[0] for p in w.parts), frozenset(w.content())
+    content, best = w.content()
+    return tuple(p[0] for p in w.parts), [[s[0] for s in p[2]] for p in w.parts], frozenset(content), best
 
 
 def extract(html: str, dumped: str) -> str:
-    """The main text of a page by its host's wrapper."""
+    """The main text of a page by its host's wrapper; a text that the wrapper does not match counts by its own path."""
     stream, texts = parse(html)
-    items = fold(stream)
-    keys, content = _known(dumped)
-    wanted: set[int] = set()
-    for op, a, b, c, d in _opcodes(keys, tuple(k for k, _ in items)):
-        if op == "equal":
-            for i, k in zip(range(a, b), range(c, d), strict=True):
-                for j, at in enumerate(items[k][1]):
-                    if (i, j) in content:
-                        wanted.update(at)
+    paths = [path for path, _, block in texts if block >= 0]
+    wanted = {k for k, path in enumerate(paths) if _core(path)}
+    if not wanted:
+        items = fold(stream)
+        keys, places, content, best = _known(dumped)
+        matched: set[int] = set()
+        for op, a, b, c, d in _opcodes(keys, tuple(k for k, _ in items)):
+            if op == "equal":
+                for i, k in zip(range(a, b), range(c, d), strict=True):
+                    for j, at in enumerate(items[k][1]):
+                        here = [x for x in at if paths[x] == places[i][j]]  # tags of two templates may match in part
+                        matched.update(here)
+                        if (i, j) in content:
+                            wanted.update(here)
+        wanted |= {k for k, path in enumerate(paths) if k not in matched and "!" not in path and tuple(path.split("/"))[: len(best)] == best}
     blocks: dict[int, list[str]] = {}
     n, last = -1, None
     for _, text, block in texts:

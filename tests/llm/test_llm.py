@@ -373,6 +373,19 @@ def test_html(spark):
     assert extract("<article><p>x</article>", Wrapper.of_page("<article><p>x</article>").dumps()) == "x"
 
 
+def test_html_mixed_templates(spark):
+    """Pages with and without an article on one host, and texts that the wrapper does not match."""
+    from meridex.llm.html import Wrapper, extract, main_text
+
+    art = "<body><nav>menu</nav><article><p>Text %d of an article</p></article></body>"
+    div = "<body><nav>menu</nav><div id=text><p>Plain text %d, in a div of its own</p></div><footer>me</footer></body>"
+    rows = [(k, url, (div if k % 5 == 0 else art) % k) for k, url in enumerate(["http://a.example/x"] * 10 + ["no host"] * 6)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: ("Plain text %d, in a div of its own" if k % 5 == 0 else "Text %d of an article") % k for k, *_ in rows}
+    assert extract("<article><p>x</p><ul><li>y</li></ul></article>", Wrapper.of_page("<article><h1>a</h1></article>").dumps()) == "x\ny"
+    assert extract("<div><p>x</p><h2>y</h2></div><nav>z</nav>", Wrapper.of_page("<div><p>a</p></div>").dumps()) == "x\ny"
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
