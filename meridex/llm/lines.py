@@ -1,20 +1,24 @@
 """Fuzzy line de-duplication: one occurrence of each group of near-equal lines stays in the corpus.
 
-Lines are normalised to their lower-case words (runs of letters; digits, marks and blanks only part words).
-Equal normalised lines form a class, by a 128-bit hash. Each class has minima of the hashes of its runs of GRAM
-characters, one for each of a number of bins; classes meet in lists of bands of such minima. Bands are so many that at
-most a share MISSED of the pairs with a Jaccard index LEAST of these runs meets in none; that is about what typing errors
-all over a line leave at the edit similarity asked for. Candidates are verified by edit similarity of the normalised
-lines, linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
-
-As in the shingle join, a first round verifies each class with two neighbours of its lists; then only pairs not yet
-in one group are verified, so a crowd of near copies never becomes all its pairs and no link that matters is lost.
+Lines of WORDS_FUZZY words or more are normalised to their lower-case words (runs of letters; digits, marks and blanks only
+part words); shorter ones, which words alone do not tell apart, to their lower-case characters with single blanks. Equal
+normalised lines form a class, by a 128-bit hash. Each class of the first kind has a sketch: the minima of the hashes of its
+runs of GRAM bytes, one for each of BINS bins. Classes meet in lists by blocks of WIDTH minima, as many blocks (BANDS)
+as it takes that lines with typing errors all over, at the edit similarity asked for, rarely miss each other in all of them.
+In a list, two classes are candidates where PASS or more bins of their sketches agree (by 4 bits each). Candidates are
+verified by edit similarity, linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
+
+A SimHash of 64 bits over the same runs would have to allow about 20 differing bits at that similarity, and one changed
+letter in a line of 40 characters moves 8: no block of useful length then stays equal. Minima keep the scheme of blocks, at
+an agreement that falls with the share of changed runs. See the README for figures.
+
+The list entries travel packed: a task sends one block of bytes to each bucket of lists. A first round verifies for each class
+the partner whose sketch agrees best; then only pairs not yet in one group are verified, so a crowd of near copies never
+becomes all its pairs and no candidate that matters is lost.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +29,28 @@ from meridex.operators.graph import connected_components
 from meridex.session import Store
 
 SIMILARITY = 0.9
-GRAM = 8
-LEAST, MISSED = 0.33, 0.025
-#: Lines of fewer words are too common by chance to tell a copy; they stay unless they have CHARS_LEAST bytes that are not blank.
-#: Then they are copies where these are equal in full, as words alone do not tell lines of digits and marks apart.
-WORDS_LEAST = 5
-CHARS_LEAST = 25
+#: Lines of fewer words are copies only where they are equal in full, but for case and blanks.
+WORDS_FUZZY = 5
+#: Shorter normalised lines cannot differ in a byte at this similarity; they have no sketch.
+BYTES_LEAST = 10
+GRAM = 6
+BANDS, WIDTH, BINS, PASS = 14, 2, 31, 9
+#: List entries of a bucket, about, and those that a task holds before it sends them.
+BUCKET_ENTRIES = 1 << 19
+FLUSH = 1 << 21
+#: Partners of an entry after which the first round looks for no more; the second round has no such bound.
+ENOUGH = 4
+#: Documents are told apart by so many hash classes where only some of them have to be shuffled.
+SIEVE = 1 << 20
+#: Rounds before the last one, at most; they end when one links fewer than one class in FRUIT. Random places of a list that an entry looks at in each.
+ROUNDS, FRUIT, PROBES = 6, 50, 16
+#: Texts up to this length have their distances taken many at once.
+WIDE = 2048
 
 _APART = np.ones(256, bool)
 _APART[97:123] = False
 _APART[128:] = False
+_OTHER = K.mix(np.arange(256, dtype=K.U), 31)
 
 
 def _unspaced(raw: np.ndarray) -> np.ndarray:
@@ -46,36 +62,57 @@ def _unspaced(raw: np.ndarray) -> np.ndarray:
     return south | khmer | east | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xBF))
 
 
-def sketches(raw: np.ndarray, s: np.ndarray, e: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
-    """Minima of 32-bit hashes of the runs of GRAM characters, by line and bin; starts: where each line's words begin in s.
+def _flat(raw: np.ndarray, inside: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of bytes that are `inside`) of lines lo..hi joined by blanks: bytes, and each line's start and end.
+
+    A byte that is not inside stands at each hi.
+    """
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    at = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(keep, out=at[1:])
+    text = np.where(inside, raw, np.uint8(32))[keep]
+    a, z = at[lo].astype(np.int64), at[hi + 1].astype(np.int64)
+    return text, a, np.maximum(a, z - 1)
+
+
+def _hash2(text: np.ndarray, a: np.ndarray, z: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of text[a:z]."""
+    p, q = K._powers(len(text) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        for k, values in enumerate((text.astype(K.U) + K.U(1), _OTHER[text])):
+            total = np.zeros(len(text) + 1, K.U)
+            np.cumsum(values * p[: len(text)], out=total[1:])
+            out.append(K.mix(((total[z] - total[a]) * q[a]) ^ ((z - a).astype(K.U) << K.U(40)), salt + k))
+    return out[0], out[1]
+
+
+def sketches(text: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Minima of 32-bit hashes of the runs of GRAM bytes of text[a:z], by line and bin. Each line has GRAM bytes or more.
 
-    The words of a line count as joined by blanks. A bin without runs takes the minimum of another; bins is a prime.
+    A bin without runs takes the minimum of another; BINS is a prime.
     """
-    step = np.zeros(len(raw) + 2, np.int8)
-    step[s] += 1
-    step[e + 1] -= 1  # a word with the byte behind it
-    inside = np.cumsum(step[:-1]) > 0
-    text = np.append(raw, np.uint8(32))
-    text[e] = 32
-    text = text[inside]
-    new = np.cumsum(inside) - 1  # places in text
-    lo, hi = new[s[starts]], np.append(new[s[starts[1:]]], len(text)) - 1  # without the last blank
-    char = np.flatnonzero((text & 0xC0) != 0x80)
-    a, z = np.searchsorted(char, lo), np.searchsorted(char, hi)
-    runs = np.maximum(z - a - GRAM + 1, 1)
-    line = np.repeat(np.arange(len(starts)), runs)
-    first = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs - a, runs)
-    h = K.hashes(text, char[first], np.append(char, len(text))[np.minimum(first + GRAM, z[line])])
-    at = ((h >> K.U(32)) * K.U(bins)) >> K.U(32)
-    least = np.full(len(starts) * bins, 2**32, np.uint64)
-    np.minimum.at(least, line * bins + at.astype(np.int64), h & K.U(2**32 - 1))
-    least = least.reshape(-1, bins)
-    rows, cols = np.nonzero(least == 2**32)
+    wide = np.ndarray((len(text),), "<u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
+    runs = z - a - GRAM + 1
+    line = np.repeat(np.arange(len(a), dtype=np.int64), runs)
+    place = np.arange(len(line)) + np.repeat(a - (np.cumsum(runs) - runs), runs)
+    with np.errstate(over="ignore"):
+        h = (wide[place] & K.U((1 << 8 * GRAM) - 1)) * K.U(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> K.U(29))) * K.U(0xBF58476D1CE4E5B9)
+        h ^= h >> K.U(32)
+    line *= BINS
+    line += (((h >> K.U(32)) * K.U(BINS)) >> K.U(32)).view(np.int64)
+    none = np.uint32(2**32 - 1)
+    least = np.full(len(a) * BINS, none, np.uint32)
+    np.minimum.at(least, line, h.astype(np.uint32))
+    least = least.reshape(-1, BINS)
+    rows, cols = np.nonzero(least == none)
     if len(rows):
         full = least.copy()
-        for k in range(1, bins):  # each bin looks through the others in an order of its own
-            got = least[rows, (cols + k * (1 + cols % (bins - 1))) % bins]
-            ok = got < 2**32
+        for k in range(1, BINS):  # each bin looks through the others in an order of its own
+            got = least[rows, (cols + k * (1 + cols % (BINS - 1))) % BINS]
+            ok = got != none
             full[rows[ok], cols[ok]] = got[ok]
             rows, cols = rows[~ok], cols[~ok]
             if not len(rows):
@@ -84,84 +121,95 @@ def sketches(raw: np.ndarray, s: np.ndarray, e: np.ndarray, starts: np.ndarray,
     return least
 
 
-def _lines(batch, few: bool = False):
-    """Lines of WORDS_LEAST words or more: their rows, numbers, hashes and characters; the bytes, words, and each line's first word.
+def _packed(least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sketch: the keys of its blocks (rows x BANDS), and 4 bits of each bin in two words."""
+    wide = least.astype(K.U)
+    keys = np.stack([K.mix(wide[:, WIDTH * k] << K.U(32) | wide[:, WIDTH * k + 1], k) for k in range(BANDS)], 1)
+    bits = (wide >> K.U(7)) & K.U(15)
+    low, high = (sum((bits[:, j] << K.U(4 * (j % 16)) for j in range(*r)), np.zeros(len(wide), K.U)) for r in ((0, 16), (16, BINS)))
+    return keys, low, high
 
-    Each character of a script without blanks counts as a word. With few, also the rows, numbers, hashes and characters of the
-    other lines of CHARS_LEAST bytes or more.
-    """
-    texts = batch.column("text")
-    _, off0 = K.utf8(texts)
-    for i, j in K.pieces(off0):
-        low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
-        raw = np.frombuffer(b"".join(x + b"\n" for x in low), np.uint8)  # so a byte stands behind each word
-        off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in low])]).astype(np.int64)
-        s, e, row = K.words(raw, off, _APART)
-        breaks = np.flatnonzero(raw == 10)
-        char = _unspaced(raw)
-        char = np.concatenate([[0], np.cumsum(char)])
-        where = np.searchsorted(breaks, s)  # the line among all
-        words = np.bincount(where, weights=np.maximum(char[e] - char[s], 1), minlength=len(breaks))
-        if few:
-            yield _exact(raw, off, breaks, words < WORDS_LEAST, i)
-        if not len(s):
-            continue
-        line = where - np.searchsorted(breaks, off[row])
-        at = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-        n = np.diff(np.append(at, len(s)))
-        ok = words[where[at]] >= WORDS_LEAST
-        use = np.repeat(ok, n)
-        s, e, n, row, line = s[use], e[use], n[ok], row[at][ok] + i, line[at][ok]
-        if not len(s):
-            continue
-        at = np.cumsum(n) - n
-        h = K.hashes(raw, s, e)
-        pos = (np.arange(len(s)) - np.repeat(at, n)).astype(K.U)
-        count = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        chars = np.add.reduceat(count[e] - count[s], at) + n - 1
-        with np.errstate(over="ignore"):
-            l1, l2 = (K.mix(np.add.reduceat(K.mix(h + pos * K.U(0x9E3779B97F4A7C15), salt), at), salt) for salt in (21, 22))
-        yield row, line, l1, l2, chars, raw, s, e, at
-
-
-def _exact(raw, off, breaks, ok, i):
-    """Rows, numbers, hashes and characters of those lines that are `ok` and have CHARS_LEAST bytes or more besides blanks."""
-    s, e, row = K.words(raw, off)
-    where = np.searchsorted(breaks, s)
-    ok = ok & (np.bincount(where, weights=e - s, minlength=len(breaks)) >= CHARS_LEAST)
-    use = ok[where]
-    s, e, row, where = s[use], e[use], row[use], where[use]
-    at = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(s) else np.zeros(0, np.int64)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z.view(K.U), z.view(K.U), z
-    n = np.diff(np.append(at, len(s)))
-    pos = (np.arange(len(s)) - np.repeat(at, n)).astype(K.U)
-    h = K.hashes(raw, s, e, 1)
-    with np.errstate(over="ignore"):
-        l1, l2 = (K.mix(np.add.reduceat(K.mix(h + pos * K.U(0x9E3779B97F4A7C15), salt), at), salt) for salt in (23, 24))
-    return row[at] + i, where[at] - np.searchsorted(breaks, off[row[at]]), l1, l2, np.add.reduceat(e - s, at) + n - 1
+
+def agree(a0, a1, b0, b1) -> np.ndarray:
+    """Bins in which packed sketches agree."""
+    off = np.zeros(np.shape(a0), np.int64)
+    for x in (a0 ^ b0, a1 ^ b1):
+        x = x | x >> K.U(1)
+        off += np.bitwise_count((x | x >> K.U(2)) & K.U(0x1111111111111111))
+    return BINS - off
 
 
-def _describe(batches):
-    """A row per line that may be a copy: its document's key, place and hash."""
+_SCAN = "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint, chars int, keys binary, sketch binary"
+_SCAN_NAMES = ["dk", "doc_id", "line", "l1", "l2", "chars", "keys", "sketch"]
+
+
+def _scan(batches):
+    """A row per line that is not blank: its document's key, place and hash; the first of a task's equal lines has the sketch."""
+    seen: set[int] = set()
     for b in batches:
-        for row, line, l1, l2, chars, *_ in _lines(b, True):
-            keep = pa.array(row)
+        texts = b.column("text")
+        _, off0 = K.utf8(texts)
+        for i, j in K.pieces(off0):
+            low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
+            raw = np.frombuffer(b"\n".join(low) + b"\n", np.uint8)
+            size = np.array([len(x) + 1 for x in low], np.int64)
+            breaks = np.flatnonzero(raw == 10)
+            lo = np.concatenate([[0], breaks[:-1] + 1])
+            row = np.searchsorted(np.cumsum(size), lo, "right")
+            first = np.searchsorted(lo, np.cumsum(size) - size)
+            letter, solid = ~_APART[raw], ~K.SPACE[raw]
+            start = letter.copy()
+            start[1:] &= ~letter[:-1]
+            words = np.add.reduceat(start, lo, dtype=np.int32)
+            if (raw >= 0xE0).any():
+                lone = _unspaced(raw)
+                if lone.any():  # a word of such characters counts as many words as it has
+                    at = np.flatnonzero(start)
+                    each = np.add.reduceat(lone & letter, at, dtype=np.int32)
+                    words = words + np.bincount(np.searchsorted(breaks, at), weights=np.maximum(each, 1) - 1, minlength=len(breaks)).astype(np.int32)
+            fuzzy = words >= WORDS_FUZZY
+            some = np.flatnonzero(np.logical_or.reduceat(solid, lo))
+            if not len(some):
+                continue
+            l1, l2, chars = np.zeros(len(lo), K.U), np.zeros(len(lo), K.U), np.zeros(len(lo), np.int64)
+            text, a, z = _flat(raw, letter, lo, breaks)
+            l1[:], l2[:] = _hash2(text, a, z, 21)
+            chars[:] = z - a
+            plain = np.flatnonzero(~fuzzy)
+            if len(plain):
+                mine = np.repeat(~fuzzy, breaks + 1 - lo)
+                ends = np.cumsum(breaks[plain] + 1 - lo[plain])
+                flat, pa_, pz = _flat(raw[mine], solid[mine], ends - (breaks[plain] + 1 - lo[plain]), ends - 1)
+                l1[plain], l2[plain] = _hash2(flat, pa_, pz, 23)
+                chars[plain] = pz - pa_
+            new = []
+            for k in some[fuzzy[some] & (chars[some] >= BYTES_LEAST)].tolist():
+                x = int(l1[k])
+                if x not in seen:
+                    seen.add(x)
+                    new.append(k)
+            new = np.array(new, np.int64)
+            mask = np.ones(len(some), bool)
+            mask[np.searchsorted(some, new)] = False
+            keys, low_, high = _packed(sketches(text, a[new], z[new])) if len(new) else (np.zeros((0, BANDS), K.U), np.zeros(0, K.U), np.zeros(0, K.U))
+            where = np.cumsum(~mask) - 1
+            where = pa.array(where, mask=mask)
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(new), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()).take(where)
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(new), [None, pa.py_buffer(np.stack([low_, high], 1).tobytes())]).cast(pa.binary()).take(where)
+            at = pa.array(row[some] + i)
             yield pa.RecordBatch.from_arrays(
-                [b.column("dk").take(keep), b.column("doc_id").take(keep), pa.array(line.astype(np.int32)), pa.array(K.signed(l1)), pa.array(K.signed(l2)), pa.array(chars.astype(np.int32))],
-                names=["dk", "doc_id", "line", "l1", "l2", "chars"])
+                [b.column("dk").take(at), b.column("doc_id").take(at), pa.array((some - first[row[some]]).astype(np.int32)), pa.array(K.signed(l1[some])), pa.array(K.signed(l2[some])),
+                 pa.array(chars[some].astype(np.int32)), keys, sketch], names=_SCAN_NAMES)
 
 
 def normalise(line: str) -> str:
-    raw = np.frombuffer(line.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    s, e, _ = K.words(raw, np.array([0, len(raw)]), _APART)
-    data = raw.tobytes()
-    return b" ".join(data[a:z] for a, z in zip(s, e, strict=True)).decode("utf-8", "replace")
+    raw = np.frombuffer(line.lower().encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+    text, a, z = _flat(raw, ~_APART[raw], np.zeros(1, np.int64), np.array([len(raw) - 1]))
+    return text[a[0] : z[0]].tobytes().decode("utf-8", "replace")
 
 
 def _texts(batches):
-    """Normalised text of the wanted lines (at: line numbers, ids: their classes) of each document."""
+    """Normalised text of the wanted lines (line: its number, id: its class) of each document."""
     for b in batches:
         ids, out = [], []
         for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
@@ -172,51 +220,85 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "t"])
 
 
-def bands_for(n: int) -> tuple[int, int]:
-    """Bands, and minima in each, whose keys and expected meetings of n lines cost least."""
-    bands = lambda r: ceil(log(MISSED) / log(1 - LEAST**r))
-    cost = lambda r: bands(r) * (1 + 0.1 * n * 5e-6 * 0.025 ** (r - 2))  # noqa: E731  chance meetings of unlike lines
-    r = min(range(2, 5), key=cost)
-    return bands(r), r
+_ENTRY = np.dtype([("key", "<u4"), ("chars", "<u2"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
-def _post(bands: int, width: int):
-    """A row for each band of each class that a task has."""
-    bins = next(p for p in range(bands * width, 2 * bands * width) if all(p % k for k in range(2, p)))
+def _post(buckets: int):
+    """The list entries of a task's sketches, as one block of bytes for each bucket of lists."""
 
     def run(batches):
-        seen: set[int] = set()
+        held, n = [], 0
+
+        def blocks():
+            keys, rest = np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held])
+            to = ((keys >> K.U(32)) * K.U(buckets) >> K.U(32)).view(np.int64)
+            o = np.argsort(to, axis=None, kind="stable")
+            e = rest[o // BANDS]
+            e["key"] = keys.ravel()[o].astype(np.uint32)
+            cut = np.searchsorted(to.ravel()[o], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "data"])
+
         for b in batches:
-            for *_, l1, _, chars, raw, s, e, at in _lines(b):
-                new = np.zeros(len(l1), bool)
-                for k, x in enumerate(l1.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        new[k] = True
-                if not new.any():
-                    continue
-                use = np.repeat(new, np.diff(np.append(at, len(s))))
-                n = np.diff(np.append(at, len(s)))[new]
-                least = sketches(raw, s[use], e[use], np.cumsum(n) - n, bins)
-                ids, size = pa.array(K.signed(l1[new])), pa.array(chars[new].astype(np.int32))
-                for k in range(bands):
-                    key = np.zeros(len(n), K.U)
-                    for j in range(k * width, (k + 1) * width):
-                        key = K.mix(key ^ least[:, j], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), ids, size], names=["key", "id", "chars"])
+            if not len(b):
+                continue
+            e = np.zeros(len(b), _ENTRY)
+            e["id"] = b.column("l1").to_numpy()
+            e["chars"] = np.minimum(b.column("chars").to_numpy(), 65535)
+            two = np.frombuffer(b"".join(b.column("sketch").to_pylist()), K.U).reshape(-1, 2)
+            e["s0"], e["s1"] = two[:, 0], two[:, 1]
+            held.append((np.frombuffer(b"".join(b.column("keys").to_pylist()), K.U).reshape(-1, BANDS), e))
+            n += BANDS * len(b)
+            if n >= FLUSH:
+                yield blocks()
+                held, n = [], 0
+        if held:
+            yield blocks()
 
     return run
 
 
-def _shared(batches):
-    """The entries of lists with two classes or more, each once."""
-    for key, chars, ids in _runs(batches, ("key", "chars", "id")):
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        key, chars, ids = key[once], chars[once], ids[once]
-        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-        keep = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, chars)], names=["key", "id", "chars"])
+def _fit(chars, x, y):
+    """Whether the lengths of rows x and y, x not the longer, are alike; those of 65,535 bytes and more all are."""
+    return chars[x] >= SIMILARITY * chars[y] - 1e-9
+
+
+_LIST = "key bigint, id bigint, chars int, s0 bigint, s1 bigint, partner bigint, score int"
+
+
+def _lists(table):
+    """The entries of one bucket that agree with another of their list, each with its best partner found."""
+    bucket = table["bucket"][0].as_py()
+    e = np.frombuffer(b"".join(table["data"].to_pylist()), _ENTRY)
+    e = e[np.lexsort((e["id"], e["key"].astype(K.U) << K.U(16) | e["chars"]))]
+    same = (e["key"][1:] == e["key"][:-1]) & (e["id"][1:] == e["id"][:-1])
+    e = e[np.append(True, ~same)] if len(e) else e  # a class that several tasks sent
+    key, chars, ids, s0, s1 = e["key"], e["chars"].astype(np.int64), e["id"], e["s0"], e["s1"]
+    list_no = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    found, best, partner = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
+    open_ = np.bincount(list_no)  # entries of each list that look for partners yet
+    x, gap = np.arange(len(key)), 0
+    while len(x):
+        gap += 1
+        x = x[: np.searchsorted(x, len(key) - gap)]
+        y = x + gap
+        ok = (list_no[x] == list_no[y]) & _fit(chars, x, y) & (open_[list_no[x]] > 0)  # sorted by length: a gap that does not fit ends an entry's search
+        x = x[ok]
+        y = x + gap
+        look = (found[x] < ENOUGH) | (found[y] < ENOUGH)
+        a, b = x[look], y[look]
+        n = agree(s0[a], s1[a], s0[b], s1[b]).astype(np.int32)
+        ok = n >= PASS
+        a, b, n = a[ok], b[ok], n[ok]
+        for p, q in ((a, b), (b, a)):  # each of them is in here once
+            found[p] += 1
+            better = n > best[p]
+            best[p[better]], partner[p[better]] = n[better], ids[q[better]]
+        if gap % 16 == 0:
+            open_ = np.bincount(list_no, weights=found < ENOUGH)
+    k = np.flatnonzero(found)
+    return pa.table([pa.array((np.int64(bucket) << 32) + key[k].astype(np.int64)), pa.array(ids[k]), pa.array(chars[k].astype(np.int32)), pa.array(s0[k].view(np.int64)), pa.array(s1[k].view(np.int64)), pa.array(partner[k]), pa.array(best[k])],
+                    names=["key", "id", "chars", "s0", "s1", "partner", "score"])
 
 
 def _runs(batches, names):
@@ -238,100 +320,245 @@ def _runs(batches, names):
         yield [tail[c].to_numpy() for c in names]
 
 
-def _near(chars, x, y):
-    """Whether pairs of rows fit in length."""
-    lo, hi = np.minimum(chars[x], chars[y]), np.maximum(chars[x], chars[y])
-    return lo >= SIMILARITY * hi - 1e-9
-
-
-def _first(batches):
-    """Each class with the nearest before it, and the first, of its list, where they may be alike."""
-    for key, ids, chars in _runs(batches, ("key", "id", "chars")):
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(key))))
-        here = np.arange(len(key))
-        a, b = [], []
-        for to in (start, np.maximum(here - 1, start)):
-            ok = (to < here) & (ids[to] != ids) & _near(chars, to, here)
-            a.append(np.minimum(ids[to[ok]], ids[ok]))
-            b.append(np.maximum(ids[to[ok]], ids[ok]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def _probe(round_: int):
+    """For each entry of a list one that agrees with it and stands in another group, if a few random ones hold one."""
+
+    def run(batches):
+        for key, ids, chars, s0, s1, comp in _runs(batches, ("key", "id", "chars", "s0", "s1", "c")):
+            chars, s0, s1 = chars.astype(np.int64), s0.view(K.U), s1.view(K.U)
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(at, len(key)))
+            start, size = np.repeat(at, size), np.repeat(size, size)
+            todo, found = np.arange(len(key)), [np.zeros((2, 0), np.int64)]
+            for k in range(PROBES):
+                step = 1 + (K.mix(key[todo].view(K.U), PROBES * round_ + k) % np.maximum(size[todo] - 1, 1).astype(K.U)).astype(np.int64)
+                other = start[todo] + (todo - start[todo] + step) % size[todo]
+                ok = (comp[todo] != comp[other]) & _fit(chars, np.minimum(todo, other), np.maximum(todo, other))
+                ok &= agree(s0[todo], s1[todo], s0[other], s1[other]) >= PASS
+                found.append(np.stack([ids[todo[ok]], ids[other[ok]]]))
+                todo = todo[~ok]
+            pairs = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
 
 
 def _rest(batches):
-    """All pairs of a list that may be alike and stand in different groups so far."""
-    for key, ids, chars, comp in _runs(batches, ("key", "id", "chars", "c")):
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(at, len(key)))
-        found = [np.zeros((2, 0), np.int64)]
-        for gap in range(1, int(size.max())):  # pairs of rows `gap` apart, in all lists at once
-            x = np.flatnonzero(key[gap:] == key[:-gap])
-            if not len(x):
-                break
-            y = x + gap
-            apart = comp[x] != comp[y]
-            x, y = x[apart], y[apart]
-            ok = _near(chars, x, y)
-            x, y = x[ok], y[ok]
-            if len(x):
-                found.append(np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1))
+    """All pairs of a list that agree and stand in different groups so far."""
+    for key, ids, chars, s0, s1, comp in _runs(batches, ("key", "id", "chars", "s0", "s1", "c")):
+        chars, s0, s1 = chars.astype(np.int64), s0.view(K.U), s1.view(K.U)
+        found, x, gap = [np.zeros((2, 0), np.int64)], np.arange(len(key)), 0
+        while len(x):
+            gap += 1
+            x = x[: np.searchsorted(x, len(key) - gap)]
+            x = x[(key[x] == key[x + gap]) & _fit(chars, x, x + gap)]
+            a = x[comp[x] != comp[x + gap]]
+            b = a + gap
+            ok = agree(s0[a], s1[a], s0[b], s1[b]) >= PASS
+            a, b = a[ok], b[ok]
+            if len(a):
+                found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """(lines, groups): every line with its document key dk and class id; the group of each class that has a near copy."""
-    lines = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_describe, "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint, chars int"), "lines")
+def _middles(x: str, y: str) -> tuple[str, str]:
+    """x and y without what both begin and end with, the shorter first."""
+    n, a, step = min(len(x), len(y)), 0, 64
+    while a < n and x[a : a + step] == y[a : a + step]:
+        a += step
+    a = min(a, n)
+    while a < n and x[a] == y[a]:
+        a += 1
+    x, y = x[a:], y[a:]
+    n, z = min(len(x), len(y)), 0
+    while z + step <= n and x[len(x) - z - step : len(x) - z] == y[len(y) - z - step : len(y) - z]:
+        z += step
+    while z < n and x[len(x) - z - 1] == y[len(y) - z - 1]:
+        z += 1
+    x, y = x[: len(x) - z], y[: len(y) - z]
+    return (x, y) if len(x) <= len(y) else (y, x)
+
+
+def distance(x: str, y: str, most: int) -> int:
+    """Edit distance of x and a y that is not shorter, by one machine word of any length; most + 1 where it is above `most`."""
+    if not x:
+        return min(len(y), most + 1)
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << len(x) - 1
+    up, down, score, left = full, 0, len(x), len(y)
+    for c in y:  # columns of the distance table as differences of its rows
+        eq = at.get(c, 0)
+        v = eq | down
+        eq |= ((eq & up) + up) ^ up
+        h = down | full & ~(eq | up)
+        d = up & eq
+        left -= 1
+        if h & top:
+            score += 1
+            if score - left > most:
+                return most + 1
+        elif d & top:
+            score -= 1
+        h = h << 1 & full | 1
+        d = d << 1 & full
+        up = d | full & ~(v | h)
+        down = h & v
+    return min(score, most + 1)
+
+
+def distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
+    """Edit distances of pairs (shorter, longer) where they are at most `most`, else something above it; all pairs at once, by 64 rows
+    of the distance table in a word, and only the words near its diagonal."""
+    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
+    m, n = (np.array([len(pairs[i][k]) for i in order], np.int64) for k in (0, 1))
+    size, words = len(order), int(-(-m.max() // 64))
+    codes = np.frombuffer("".join(pairs[i][0] + pairs[i][1] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, codes = np.unique(codes, return_inverse=True)
+    base = np.cumsum(m + n) - (m + n)
+    row = np.repeat(np.arange(size), m)
+    i = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    equal = np.zeros((words, size * len(alphabet)), K.U)
+    np.bitwise_or.at(equal, (i >> 6, row * len(alphabet) + codes[np.repeat(base, m) + i]), K.U(1) << (i & 63).astype(K.U))
+    up, down = np.full((words, size), 2**64 - 1, K.U), np.zeros((words, size), K.U)
+    active, one, top = size, K.U(1), K.U(63)
+    out, rows = np.zeros(size, np.int64), np.arange(size) * len(alphabet)
+    for j in range(int(n[0])):
+        while n[active - 1] <= j:
+            active -= 1
+        k = slice(0, active)
+        at = rows[k] + codes[base[k] + m[k] + j]
+        more, less = np.ones(active, K.U), np.zeros(active, K.U)  # horizontal differences that come in from above
+        for w in range(max(0, j - most) >> 6, min(words - 1, (j + most) >> 6) + 1):
+            p, q, eq = up[w, k], down[w, k], equal[w][at]
+            v = eq | q
+            eq = eq | less
+            x = (((eq & p) + p) ^ p) | eq
+            h, d = q | ~(x | p), p & x
+            h, d, more, less = h << one | more, d << one | less, h >> top, d >> top
+            up[w, k] = d | ~(v | h)
+            down[w, k] = h & v
+        over = int(np.searchsorted(-n, -(j + 1), "right"))  # longer ones go on
+        end = np.arange(int(np.searchsorted(-n, -(j + 1))), over)
+        if len(end):
+            bits = np.clip(m[end] - 64 * np.arange(words)[:, None], 0, 64)
+            mask = np.where(bits == 64, K.U(2**64 - 1), (one << np.minimum(bits, 63).astype(K.U)) - one)
+            out[end] = j + 1 + (np.bitwise_count(up[:, end] & mask).astype(np.int64) - np.bitwise_count(down[:, end] & mask).astype(np.int64)).sum(0)
+    back = np.zeros(size, np.int64)
+    back[order] = out
+    return back
+
+
+def alike(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Whether the edit distance of each pair leaves SIMILARITY of the longer text's characters."""
+    ok, todo = np.zeros(len(xs), bool), []
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        most = int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
+        if abs(len(x) - len(y)) <= most:
+            x, y = _middles(x, y)
+            if len(y) <= most:
+                ok[i] = True
+            elif len(y) > WIDE:
+                ok[i] = distance(x, y, most) <= most
+            elif x:
+                todo.append((i, x, y, most))
+    todo.sort(key=lambda t: len(t[2]))
+    for k in range(0, len(todo), 2048):
+        some = todo[k : k + 2048]
+        found = distances([(x, y) for _, x, y, _ in some], max(t[3] for t in some))
+        ok[[t[0] for t in some]] = found <= np.array([t[3] for t in some])
+    return ok
+
+
+def _verify(batches):
+    """The pairs whose edit similarity is high enough."""
+    for b in batches:
+        m = pa.array(alike(b.column("x").to_pylist(), b.column("y").to_pylist()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
+
+
+def _sieved(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose key falls into a hash class of those in some (or, anti, does not): at most SIEVE classes are broadcast."""
+    classes = some.select(F.pmod("dk", F.lit(SIEVE)).alias("sieve")).distinct()
+    return docs.withColumn("sieve", F.pmod("dk", F.lit(SIEVE))).join(F.broadcast(classes), "sieve", how).drop("sieve")
+
+
+def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, classes, groups): every line with its document's key dk and class l1, l2; each class with its first occurrence; the group of
+    each class that has a near copy."""
+    spark = docs.sparkSession
+    scan = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_scan, _SCAN), "lines")
+    lines = scan.select("dk", "doc_id", "line", "l1", "l2")
+    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "dk", "line")
+    classes = store.save(lines.groupBy("l1", "l2").agg(F.min(order).alias("first"), F.count("*").alias("n")), "classes")
+    sketched = scan.where("sketch is not null").select("l1", "chars", "keys", "sketch")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sketched.count() * BANDS // BUCKET_ENTRIES + 1)
     # The class id is the first half of its hash; of the vanishingly few classes that share it, the others stand alone.
-    classes = lines.groupBy("l1", "l2", "chars").agg(F.min(F.struct("dk", "line")).alias("at"))
-    classes = store.save(classes.select(F.col("l1").alias("id"), "chars", "at"), "classes")
-    posted = docs.select("text").mapInArrow(_post(*bands_for(classes.count())), "key bigint, id bigint, chars int")
-    posted = store.save(posted.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_shared, "key bigint, id bigint, chars int"), "lists")
+    lists = store.save(sketched.mapInArrow(_post(buckets), "bucket int, data binary").groupBy("bucket").applyInArrow(_lists, _LIST), "lists")
+
+    # Only classes with a candidate have their texts fetched, once.
+    ids = lists.select("id").distinct()
+    want = classes.select(F.col("l1").alias("id"), F.col("first.dk").alias("dk"), F.col("first.line").alias("line")).join(ids, "id", "left_semi")
+    want = store.save(want.groupBy("dk").agg(F.collect_list(F.struct("id", "line")).alias("want")), "want")  # as many as the document has lines
+    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").select("text", "want").mapInArrow(_texts, "id bigint, t string")
+    texts = store.save(texts.groupBy("id").agg(F.min("t").alias("t")), "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = store.save(pairs.distinct(), name)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        want = classes.join(ids, "id", "left_semi").groupBy("at.dk").agg(F.collect_list(F.struct("id", F.col("at.line").alias("line"))).alias("want"))
-        texts = docs.select("dk", "text").join(want, "dk").select("text", "want").mapInArrow(_texts, "id bigint, t string")
-        texts = store.save(texts.groupBy("id").agg(F.min("t").alias("t")), "texts")
+        pairs = store.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-        most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(length(x), length(y)) + 1e-9) as int)"
-        out = store.save(both.where(f"levenshtein(x, y, {most}) >= 0").select("a", "b"), "links")
-        store.drop(pairs, texts)
+        out = store.save(both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"), "links")
+        store.drop(pairs)
         return out
 
-    links = linked(posted.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_first, "a bigint, b bigint"), "near1")
+    best = lists.groupBy("id").agg(F.max(F.struct("score", "partner")).alias("m"))
+    links = linked(best.select(F.col("id").alias("a"), F.col("m.partner").alias("b")), "near1")
     part = store.save(connected_components(links, store), "part")
-    at = posted.join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "chars", F.coalesce("component", "id").alias("c"))
-    more = linked(at.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_rest, "a bigint, b bigint"), "near2")
-    groups = store.save(connected_components(links.unionByName(more), store).withColumnRenamed("node", "l1"), "groups")
-    store.drop(classes, posted, links, more, part)
-    return lines, groups
+
+    def unjoined(part: DataFrame) -> DataFrame:
+        """The entries of lists that hold more than one group."""
+        at = lists.drop("partner", "score").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+        apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        at = store.save(at.join(apart, "key").select("key", "id", "chars", "s0", "s1", "c"), "apart")
+        return at.repartition("key").sortWithinPartitions("key", "chars", "id")
+
+    # Rounds of one partner for each class join crowds; what they leave apart is verified in full below.
+    for k in range(ROUNDS):
+        tries = unjoined(part).mapInArrow(_probe(k), "a bigint, b bigint").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
+        new = linked(tries, "tries")
+        found, had = new.count(), part.count()
+        part = store.save(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), store), "part")
+        if found * FRUIT < had:
+            break
+    more = linked(unjoined(part).mapInArrow(_rest, "a bigint, b bigint"), "near2")
+    last = part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    groups = store.save(connected_components(last, store).withColumnRenamed("node", "l1"), "groups")
+    store.drop(lists, want, texts, links, more, part)
+    return lines, classes, groups
 
 
 def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
     """The rows of docs with every line removed that repeats an earlier line, exactly or nearly; and n_lines, n_removed.
 
-    The first occurrence, by doc_id (null last), then text hash, then line number, stays; so do lines of fewer than
-    WORDS_LEAST words and CHARS_LEAST bytes; those of fewer words and more bytes go where they repeat a line exactly, but for case and
-    blanks. A character of a script without blanks counts as a word. Null texts stay null with 0 lines; a document of copies alone becomes an empty text. Rows equal
+    The first occurrence, by doc_id (null last), then text hash, then line number, stays. Lines of fewer than WORDS_FUZZY
+    words go only where they repeat a line exactly, but for case and blanks. A character of a script without blanks counts
+    as a word. Blank lines stay. Null texts stay null with 0 lines; a document of copies alone becomes an empty text. Rows equal
     in doc_id and text get the same result. Other columns stay as they are, whatever their names; an empty
     table gives an empty result. Columns of docs named n_lines or n_removed are replaced.
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*cols, F.xxhash64("doc_id", "text").alias("_dk"))
-    lines, groups = line_groups(keyed.select(F.col("_dk").alias("dk"), "doc_id", "text"), store)
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "dk", "line")
-    firsts = lines.groupBy("l1", "l2").agg(F.min(order).alias("first"), F.count("*").alias("n")).join(groups, "l1", "left")
-    firsts = store.save(firsts.withColumn("g", F.coalesce("component", "l1")), "firsts")
-    kept = firsts.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    copies = firsts.join(kept.select("g", "keep"), "g").select("l1", "l2", "keep")
-    gone = lines.join(copies, ["l1", "l2"]).where("dk <> keep.dk or line <> keep.line").groupBy("dk").agg(F.collect_set("line").alias("_gone"))
-    parts = F.split(F.col("text"), "\n", -1)
-    out = keyed.join(gone.withColumnRenamed("dk", "_dk"), "_dk", "left")
-    n = F.coalesce(F.size("_gone"), F.lit(0))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in cols], count.cast("bigint").alias("n_lines"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_removed"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.struct(*cols).alias("row"))
+    lines, classes, groups = line_groups(keyed.select("dk", "row.doc_id", "row.text"), store)
+    kept = classes.join(groups, "l1", "left").withColumn("g", F.coalesce("component", "l1"))
+    keep = kept.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("m")).where("m > 1").drop("m")
+    copies = kept.join(keep, "g").select("l1", "l2", "keep")
+    gone = lines.join(copies, ["l1", "l2"]).where("dk <> keep.dk or line <> keep.line").groupBy("dk").agg(F.collect_set("line").alias("gone"))  # at most a document's lines
+    gone = store.save(gone, "gone")
+    parts = F.split(F.col("row.text"), "\n", -1)
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    count = F.when(F.col("row.text").isNull(), 0).otherwise(F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1)
+    done = [*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in cols], count.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed")]
+    # Documents that lose no line need not meet the others in the join.
+    whole = _sieved(keyed, gone, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    return _sieved(keyed, gone, "left_semi").join(gone, "dk", "left").select(*done).unionByName(whole.select(*done))

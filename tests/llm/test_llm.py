@@ -216,14 +216,15 @@ def test_lines(spark, store, docs):
             (4, None, "s"), (5, "", "s"), (6, "a b c d e\na b c d e", "s"), (None, a, "s"), (7, a.replace("wooden", "woodem"), "s")]
     d = make(spark, rows)
     got = {r.doc_id: r for r in dedup_lines(d, store).collect()}
-    assert got[1].text == rows[0][1] and got[2].text == "short line\nnothing else is like this one at all" and got[3].text == "" and got[None].text == ""
+    assert got[1].text == rows[0][1] and got[2].text == "nothing else is like this one at all" and got[3].text == "" and got[None].text == ""
     assert got[4].text is None and got[4].n_lines == 0 and got[5].text == "" and got[6].text == "a b c d e" and got[6].n_removed == 1
     assert dedup_lines(d.limit(0), store).count() == 0
     seen, want = set(), 0
     for i, t, _ in sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0]):
         for line in [] if i == 5 and t in seen else (t or "").split("\n"):
             n = normalise(line)
-            want += len(n.split()) >= 5 and n in seen
+            n = n if len(n.split()) >= 5 else " ".join(line.lower().split())
+            want += bool(n) and n in seen
             seen.add(n)
         seen |= {t} if i == 5 else set()
     out = dedup_lines(docs, store)
@@ -241,7 +242,7 @@ def test_lines_without_words(spark, store):
     near = han[:40] + "\u4e00" + han[41:]
     rows = [(1, "\n".join(lines), "s"), (2, "\n".join(lines), "s"), (3, near, "s"), (4, digits[::-1], "s"), (5, digits.replace(" ", "  "), "s")]
     got = {r.doc_id: r.text for r in dedup_lines(make(spark, rows), store).collect()}
-    assert got == {1: rows[0][1], 2: "1 2 3\n\u4e2d\u6587", 3: "", 4: digits[::-1], 5: ""}
+    assert got == {1: rows[0][1], 2: "", 3: "", 4: digits[::-1], 5: ""}
 
 
 def test_near_lines(spark, store):
@@ -279,6 +280,47 @@ def test_near_lines(spark, store):
     assert len(gone) >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize("words", [(5, 9), (10, 19), (20, 59), (60, 300)])
+def test_near_lines_of_one_letter(spark, store, words):
+    """One letter changed, by length of the line."""
+    from meridex.llm.lines import dedup_lines
+
+    rng = random.Random(words[0])
+    rows = []
+    for i in range(100):
+        line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(rng.randint(*words)))
+        k = rng.choice([k for k, c in enumerate(line) if c != " "])
+        rows += [(i, line, "s"), (1000 + i, line[:k] + ("x" if line[k] != "x" else "y") + line[k + 1 :], "s")]
+    assert dedup_lines(make(spark, rows), store).where("n_removed > 0 and doc_id >= 1000").count() >= 90
+
+
+def test_edit_distance(monkeypatch):
+    from meridex.llm import lines
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            prev, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                prev, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, prev + (x != y))
+        return row[-1]
+
+    rng = random.Random(12)
+    xs, ys = [], []
+    for _ in range(1500):
+        a = "".join(rng.choices("ab\u4e2d ", k=rng.randint(0, 250)))
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choices("abc", k=rng.randint(0, 2))
+        xs.append(a)
+        ys.append("".join(b))
+    want = [plain(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9) for a, b in zip(xs, ys, strict=True)]
+    assert 300 < sum(want) < 1300 and lines.alike(xs, ys).tolist() == want
+    monkeypatch.setattr(lines, "WIDE", 0)
+    assert lines.alike(xs, ys).tolist() == want
+
+
 def test_pitman_yor(spark, store, docs):
     from meridex.llm.pitman_yor import log_stirling, score_documents, seat
 
