@@ -338,12 +338,63 @@ def test_pitman_yor(spark, store, docs):
         assert ((r.doc_id or -1), r.n_tokens, r.held_out, r.n_known, r.train_tokens) == w[:5] and r.base_score == pytest.approx(w[5]) and r.score < 0
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert score_documents(docs.limit(0), store).count() == 0
-    rng = np.random.default_rng(0)
-    t = seat(np.array([0, 1, 2, 30, 5000]), np.full(5, 0.5), 0.5, rng)
+    t = seat(np.array([0, 1, 2, 30, 5000]), np.full(5, 0.5), 0.5, np.arange(5, dtype=np.uint64))
     assert t[0] == 0 and t[1] == 1 and all(1 <= x <= k for x, k in zip(t[2:], (2, 30, 5000), strict=True))
     assert np.exp(log_stirling(4, 0.5)[3, 1:4]) == pytest.approx([0.75, 1.5, 1.0])
 
 
+def test_pitman_yor_does_not_depend_on_partitions(spark, store, docs, monkeypatch):
+    """Scores are the same over other partitions, buckets and lists of hot words."""
+    from meridex.llm import pitman_yor
+
+    key = lambda r: (r.doc_id or -1, r.n_tokens, r.base_score)
+    want = sorted(pitman_yor.score_documents(docs, store).collect(), key=key)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(pitman_yor, "HOT_SHARE", 0.05)
+    got = sorted(pitman_yor.score_documents(docs.repartition(7), store).collect(), key=key)
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    assert np.allclose([[r.score, r.base_score] for r in got], [[r.score, r.base_score] for r in want], rtol=1e-9)
+
+
+def test_pitman_yor_adds_up_to_one():
+    """The predictive probability over a context's words, the other words and the unseen one, with a hot word and without."""
+    from meridex.llm import _kit as K
+    from meridex.llm import pitman_yor as py
+
+    rng = np.random.default_rng(5)
+    w = np.sort(K.mix(np.arange(40, dtype=np.uint64)))
+    per = rng.integers(1, 30, 40)
+    ctx = np.concatenate([np.sort(rng.choice(50, n, replace=False)) for n in per]).astype(np.uint16)
+    c = rng.geometric(0.1, len(ctx))
+    r = {"bucket": 0, "w": py._zip(w), "per": py._zip(per.astype(np.uint32)), "ctx": py._zip(ctx), "c": py._zip(c.astype(np.uint32))}
+    for hot in (w[:0], w[3:5]):
+        history = []
+        for _ in range(py.SWEEPS + 1):
+            history.append(py.collected(*py.sums(r, history, hot), hot, history))
+        assert all(40 <= g["T0"] <= g["C0"] <= c.sum() for g in history)
+        p, _, p0 = py.predictive(r, history, hot)
+        word = np.repeat(np.arange(40), per)
+        each = np.array([p0[word == k][0] for k in range(40)])
+        samples = range(py.SWEEPS + 1 - py.SAMPLES, py.SWEEPS + 1)
+        unseen = np.mean([py.root_probability(np.zeros(1), np.zeros(1), history[k])[0] for k in samples])
+        assert each.sum() + unseen == pytest.approx(1)
+        for x in range(50):
+            total = p[ctx == x].sum()
+            for k in samples:
+                g, d1 = history[k], history[k - 1]["d1"]
+                away = 1 - sum(_root(py, r, history, hot, k)[word[ctx == x]])
+                total += (py.STRENGTH + d1 * g["t"][x]) * away / (py.STRENGTH + g["c"][x]) / py.SAMPLES
+            assert total == pytest.approx(1)
+
+
+def _root(py, r, history, hot, k):
+    *_, is_hot, where, states = py._restaurants(r, history[:-1], hot)
+    _, root, t0 = states[k]
+    root, t0 = root.copy(), t0.copy()
+    root[is_hot], t0[is_hot] = history[k]["hot_t"][where], history[k]["hot_t0"][where]
+    return py.root_probability(root, t0, history[k])
+
+
 def test_toxicity(spark):
     from meridex.llm.toxicity import clean, toxicity
 
