@@ -29,8 +29,8 @@ CLASSES = 1 << 16
 SWEEPS = 3
 SAMPLES = 2
 STRENGTH = 1.0
-BUCKET_BYTES = 16 << 20  # text bytes for each bucket
-FLUSH = 2_000_000  # tokens that a task holds
+BUCKET_BYTES = 12 << 20  # text bytes for each bucket
+FLUSH = 1_500_000  # tokens that a task holds
 HOT_SHARE = 0.004
 HOT_PARTS = 32
 HELD_MOD, HELD = 7, 2
