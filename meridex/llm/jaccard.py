@@ -45,8 +45,8 @@ SMALL_MOST = 14
 #: Prefix keys that two large sets must share to become a candidate pair (fewer for tiny sets).
 SHARED = 4
 #: Hub rounds end at so many, or with so few pairs left for each entry, or with fewer links than an entry in so many.
-HUB_ROUNDS = 6
-HUB_LEAST = 8
+HUB_ROUNDS = 12
+HUB_LEAST = 1
 HUB_FRUIT = 2000
 
 
