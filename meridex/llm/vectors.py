@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 CELL_ROWS = 16_384
 CELL_QUERIES = 256
+#: Rows whose sorted lists are read at once; the scores reached so far bound the next ones. Shares of the lists read in each step.
+LIST_ROWS = 4096
+DEPTHS = (0.125, 0.25, 0.5, 1.0)
 #: Pivots are the first PIVOTS of a bounded sample (4 * PIVOTS vectors, by hash of vec_id) that lie apart, with no
 #: two at a cosine of APART or more, so that a crowd of near-equal vectors counts once. Each vector keeps its PERM nearest.
 PIVOTS = 256
@@ -62,47 +65,40 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.asarray(col.flatten()).reshape(len(ids), -1)
 
 
-def nra(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
-    """Rows of the k best inner products, by sorted access alone.
+def nra(x: np.ndarray, asks: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> list[np.ndarray]:
+    """For each query, the columns of x that may be among its k best inner products, by sorted access alone.
 
-    x: a list of values for each component (components x rows); order: rows by falling value for each;
-    own: rows that do not count. Lists are read in step, each from its best end for this query.
-    lower: what a row has surely; upper: what it can have, its unread components standing at most at
-    the list's frontier. Reading stops when few rows can still qualify; ties are among them.
+    x: a list of whole values for each component (components x rows); asks: queries x components; own: each query's own
+    column, or -1; least: a score that k others are known to reach. Each list is read from its best end for a query, all
+    queries in step. lower: what a row has surely; upper: what it can have, its unread components standing at most at
+    the list's frontier. A query stops reading when few rows can still qualify; ties are among them. What has been read to a depth
+    is the same for all queries of one sign, so the bounds of all queries are products of matrices, exact below 2**53.
     """
     d, n = x.shape
-    worst = np.minimum(q * x.min(1), q * x.max(1))
-    lower = np.full(n, worst.sum())
-    unread = np.full((d + 7) // 8 * n, 255, np.uint8).reshape(-1, n)
-    used = np.flatnonzero(q)
-    front = np.zeros(d, np.int64)
-    never = np.iinfo(np.int64).min // 4
-    lower[own] = never
-    bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-    done = 0
-    for step in range(1, steps + 1):
-        upto = n * step // steps
-        if upto == done:
-            continue
-        for j in used:
-            at = order[j, done:upto] if q[j] > 0 else order[j, n - upto : n - done][::-1]
-            lower[at] += q[j] * x[j, at] - worst[j]
-            unread[j >> 3, at] &= np.uint8(255 ^ (1 << (int(j) & 7)))
-            front[j] = q[j] * x[j, at[-1]]
-        done = upto
-        lower[own] = never
-        room = np.zeros((len(unread) * 8,), np.int64)
-        room[:d] = front - worst
-        room[:d][q == 0] = 0
-        upper = lower.copy()
-        for b in range(len(unread)):
-            upper += (bits @ room[8 * b : 8 * b + 8])[unread[b]]
-        upper[own] = never
-        kth = np.partition(lower, n - k)[n - k] if n > k else never
-        open_ = np.flatnonzero((upper >= kth) & (upper > never // 2))
-        if len(open_) <= max(4 * k, n // 32) or done == n:
-            return open_
-    return np.arange(n)
+    rank = np.argsort(np.argsort(x, axis=1, kind="stable"), axis=1, kind="stable")
+    sort = np.sort(x, axis=1)
+    worst = np.minimum(asks * sort[:, 0], asks * sort[:, -1])
+    up, out = asks > 0, [np.zeros(0, np.int64)] * len(asks)
+    todo = np.arange(len(asks))
+    for share in DEPTHS:
+        depth = max(1, int(n * share))
+        high, low = rank >= n - depth, rank < depth
+        front = np.where(up[todo], asks[todo] * sort[:, n - depth], asks[todo] * sort[:, depth - 1]) - worst[todo]
+        read = np.concatenate([high, low]).astype(float)
+        sides = lambda z: np.concatenate([np.where(up[todo], z, 0), np.where(up[todo], 0, z)], axis=1)
+        sure = sides(asks[todo]) @ (np.concatenate([x, x]) * read) - sides(worst[todo]) @ read + worst[todo].sum(1)[:, None]
+        most = sure + front.sum(1)[:, None] - sides(front) @ read
+        has = np.flatnonzero(own[todo] >= 0)
+        sure[has, own[todo][has]] = most[has, own[todo][has]] = -np.inf
+        kth = np.maximum(least[todo], np.partition(sure, n - k, axis=1)[:, n - k] if n > k else -np.inf)
+        open_ = (most >= kth[:, None]) & (most > -np.inf)
+        done = (open_.sum(1) <= max(4 * k, n // 32)) | (share == DEPTHS[-1])
+        for i in np.flatnonzero(done):
+            out[todo[i]] = np.flatnonzero(open_[i])
+        todo = todo[~done]
+        if not len(todo):
+            break
+    return out
 
 
 _SCORE = "query_id bigint, vec_id bigint, score {}"
@@ -111,7 +107,8 @@ _SCORE = "query_id bigint, vec_id bigint, score {}"
 def exact_topk(emb: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """For each query (vec_id divisible by `every`): query_id, rank, vec_id, score, by integer inner product.
 
-    Components become floor(scale * x). Ties go to the smaller vec_id. See the module for nulls and repeats.
+    Components become floor(scale * x). Ties go to the smaller vec_id. See the module for nulls and repeats. Raises OverflowError
+    where components are so large that scores may reach 2**53, where they would no more be exact.
     """
     vecs = usable(emb)
 
@@ -120,15 +117,21 @@ def exact_topk(emb: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         asks, qs = _matrix(right)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and len(asks):
+            if m.shape[1] * float(np.abs(m).max() * scale + 1) * float(np.abs(qs).max() * scale + 1) >= 2.0**53:
+                raise OverflowError("exact_topk: scores may reach 2**53")
             o = np.argsort(ids)
-            ids = ids[o]
-            x = np.ascontiguousarray(np.floor(m[o] * scale).astype(np.int64).T)
-            order = np.argsort(-x, axis=1, kind="stable").astype(np.int32)
-            for i, q in zip(asks, np.floor(qs * scale).astype(np.int64), strict=True):
-                rows = nra(x, order, q, np.flatnonzero(ids == i), k)
-                score = q @ x[:, rows]  # the finalists' scores, resolved
-                best = np.lexsort((ids[rows], -score))[:k]
-                out.append((np.full(len(best), i), ids[rows][best], score[best]))
+            ids, x, q = ids[o], np.floor(m[o] * scale).T, np.floor(qs * scale)
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
+            for a in range(0, len(ids), LIST_ROWS):
+                part, mine = np.ascontiguousarray(x[:, a : a + LIST_ROWS]), ids[a : a + LIST_ROWS]
+                at = np.searchsorted(mine, asks)
+                own = np.where(mine[np.minimum(at, len(mine) - 1)] == asks, np.minimum(at, len(mine) - 1), -1)
+                least = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in best])
+                for i, rows in enumerate(nra(part, q, own, k, least)):
+                    found, score = np.concatenate([best[i][0], mine[rows]]), np.concatenate([best[i][1], q[i] @ part[:, rows]])  # the finalists' scores, resolved
+                    top = np.lexsort((found, -score))[:k]
+                    best[i] = found[top], score[top]
+            out = [(np.full(len(f), i), f, s.astype(np.int64)) for i, (f, s) in zip(asks, best, strict=True)]
         return _table(out, pa.int64())
 
     return _grid(vecs, every, cell, _SCORE.format("bigint"), k)
