@@ -26,28 +26,42 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
+    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements without content, elements that part blocks, parts of a page that are not its main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+CORE = frozenset(["article", "main", "body", "html"])
 OUTSIDE = frozenset("head nav footer aside form button menu dialog label title object audio video canvas map".split())
 _OUTSIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|commentlist|respond|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
 
 
-def _kind(name: str, attrs: str) -> str:
-    """An open tag's place in paths: its name, with ! where its name, class, id or role put it outside the main text."""
-    named = " ".join(v for m in _NAMED.finditer(attrs) for v in m.groups()[1:] if v) if "=" in attrs else ""
-    return name + ("!" if name in OUTSIDE or (named and _OUTSIDE_NAME.search(named)) else "")
+def _outside(named: str, core: bool) -> bool:
+    """Whether class, id or role put an element outside the main text; in an article, only names that say nothing else do."""
+    if not core:
+        return bool(_OUTSIDE_NAME.search(named))
+    return any(all(_OUTSIDE_NAME.fullmatch(x) for x in re.split("[_-]+", word) if x) for word in named.split() if word.strip("_-"))
+
+
+@lru_cache(maxsize=8192)
+def _kind(name: str, attrs: str, core: bool = False) -> str:
+    """An open tag's place in paths: its name, with ! where its name, class, id or role put it outside the main text.
+
+    core: whether it stands in an article or main element; these themselves are judged by no class, id or role.
+    """
+    named = " ".join(v for m in _NAMED.finditer(attrs) for v in m.groups()[1:] if v) if "=" in attrs and name not in CORE else ""
+    return name + ("!" if name in OUTSIDE or (named and _outside(named, core)) else "")
 
 
 def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
     """(stream, texts): tags and # for each text; for each text its path, its characters and its block's number."""
     stream, texts, stack, block = [], [], [], 0
     for m in _TOKEN.finditer(html):
-        text, name = m.group(5), m.group(3)
+        text, name, k = m.group(8), m.group(3), 2
+        if name is None and text is None and m.group(6) is not None:
+            name, k = m.group(6), 5  # a quote that nothing closes ends with its tag
         if text is not None:
             if text.strip():
                 stream.append("#")
@@ -60,7 +74,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
                 texts.append(("", " ", -1))
             elif name in BLOCK:
                 block += 1
-            if m.group(2):
+            if m.group(k):
                 base = [x.rstrip("!") for x in stack]
                 if name in base:
                     del stack[len(base) - 1 - base[::-1].index(name) :]
@@ -69,7 +83,9 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
                 while stack and name in CLOSED_BY.get(_open_block(stack), ()):
                     _close(stack)
                 if name not in VOID:
-                    stack.append(_kind(name, m.group(4)))
+                    attrs = m.group(k + 2) or ""
+                    core = "article" in stack or "main" in stack
+                    stack.append(_kind(name, attrs, core) if len(attrs) < 512 else _kind.__wrapped__(name, attrs, core))
                 stream.append(f"<{stack[-1] if name not in VOID else name}>")
     return stream, texts
 
@@ -94,22 +110,21 @@ def fold(stream: list[str]) -> list[tuple]:
         items.append((x, [[n]] if x == "#" else []))
         n += x == "#"
     for width in range(1, 13):
+        names = [k for k, _ in items]
         i, out = 0, []
         while i < len(items):
-            group = items[i : i + width]
-            keys = tuple(k for k, _ in group)
-            if len(group) == width and not (width == 1 and keys[0][0] == "+") and tuple(k for k, _ in items[i + width : i + 2 * width]) == keys:
-                leaves = [list(z) for _, ls in group for z in ls]
-                j = i + width
-                while tuple(k for k, _ in items[j : j + width]) == keys:
-                    for a, b in zip(leaves, (z for _, ls in items[j : j + width] for z in ls), strict=True):
-                        a.extend(b)
-                    j += width
-                out.append((("+", keys), leaves))
-                i = j
-            else:
+            # the first names tell most groups apart
+            if i + 2 * width > len(items) or names[i] != names[i + width] or names[i : i + width] != names[i + width : i + 2 * width] or (width == 1 and names[i][0] == "+"):
                 out.append(items[i])
                 i += 1
+                continue
+            keys, leaves, j = names[i : i + width], [list(z) for _, ls in items[i : i + width] for z in ls], i + width
+            while names[j : j + width] == keys:
+                for a, b in zip(leaves, (z for _, ls in items[j : j + width] for z in ls), strict=True):
+                    a.extend(b)
+                j += width
+            out.append((("+", tuple(keys)), leaves))
+            i = j
         items = out
     return items
 

@@ -487,3 +487,19 @@ def test_pipeline(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and all(r.length <= 2048 for r in got)
+
+
+def test_html_names_and_quotes():
+    """Names of elements in an article, and attributes that nothing closes."""
+    from meridex.llm.html import Wrapper, extract
+
+    for html, want in [
+        ('<article class="related-story"><p>Text</p></article>', "Text"),
+        ('<article><section class="side-effects"><p>Text</p></section></article>', "Text"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</p></article>', "Title\nText"),
+        ('<article><p>Text</p><div class="cookie-notice">no</div><div class="comments">no</div></article>', "Text"),
+        ('<article><p title="a>Hello</p><p>Text</p></article>', "Hello\nText"),
+        ("<article><p>Text", "Text"),
+        ("<article>" + "<div>" * 3000 + "Text" + "</div>" * 3000 + "</article>", "Text"),
+    ]:
+        assert extract(html, Wrapper.of_page(html).dumps()) == want
