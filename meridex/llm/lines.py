@@ -9,7 +9,7 @@ In a list, two classes are candidates where PASS or more bins of their sketches
 verified by edit similarity, linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
 
 A SimHash of 64 bits over the same runs would have to allow about 20 differing bits at that similarity, and one changed
-letter in a line of 40 characters moves 8: no block of useful length then stays equal. Minima keep the scheme of blocks, at
+letter in a line of 40 characters moves about 12: no block of useful length then stays equal. Minima keep the scheme of blocks, at
 an agreement that falls with the share of changed runs. See the README for figures.
 
 The list entries travel packed: a task sends one block of bytes to each bucket of lists. A first round verifies for each class
