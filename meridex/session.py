@@ -23,10 +23,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share; a local one only where it is unset in local mode.
+
+    Raises on a cluster without it: executors do not see each other's local folders.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="meridex-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
