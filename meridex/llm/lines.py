@@ -43,7 +43,7 @@ ENOUGH = 4
 #: Documents are told apart by so many hash classes where only some of them have to be shuffled.
 SIEVE = 1 << 20
 #: Rounds before the last one, at most; they end when one links fewer than one class in FRUIT. Random places of a list that an entry looks at in each.
-ROUNDS, FRUIT, PROBES = 6, 50, 16
+ROUNDS, FRUIT, PROBES = 2, 50, 16
 #: Texts up to this length have their distances taken many at once.
 WIDE = 2048
 
