@@ -53,8 +53,11 @@ def is_negated(before: Column) -> Column:
 
 def has_any(c: Column, terms: Iterable[str], respect_negation: bool = True) -> Column:
     """Whether some term occurs in the normal form c, at some place where it is not negated."""
+    terms = list(terms)
     pattern = term_pattern(terms)
     found = c.rlike(pattern)
+    if all(re.search(f"[{_AR}]", term(t)) for t in terms):
+        found = c.rlike(f"[{_AR}]") & found  # a text without Arabic letters holds none of them, which is cheap to see
     if not respect_negation:
         return F.coalesce(found, F.lit(False))
     pieces = F.split(F.regexp_replace(c, pattern, _CUT), _CUT, -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,24 +23,41 @@ def fold_letters(c: Column) -> Column:
     return F.translate(c, *_FOLD)
 
 
+def _once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once, however often body names it: the body is a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def dialect_forms() -> dict[str, str]:
+    """Every token with a dialect form, as it stands or behind a clitic prefix, and its canonical token; the first rule counts."""
+    forms = dict(DIALECT)
+    for p in CLITICS:
+        for tok, to in DIALECT.items():
+            forms.setdefault(p + tok, p + to)
+    return forms
+
+
 def canonical_token(tok: Column) -> Column:
     """Dialect form of a whole token, with or without a clitic prefix; else the token."""
-    forms = F.create_map(*[F.lit(x) for kv in DIALECT.items() for x in kv])
-    tries = [F.try_element_at(forms, tok)]
-    tries += [F.when(tok.startswith(p), F.concat(F.lit(p), F.try_element_at(forms, F.substring(tok, len(p) + 1, 1 << 20)))) for p in CLITICS]
-    return F.coalesce(*tries, tok)
+    forms = F.create_map(*[F.lit(x) for kv in dialect_forms().items() for x in kv])
+    return F.coalesce(F.try_element_at(forms, tok), tok)
 
 
 def normalise(c: Column, boundaries: bool = False) -> Column:
     """Normal form of a text; with boundaries, sentence marks become a `|` token. Null becomes ''."""
-    x = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[ؗ-ًؚ-ْ]", "")
+    x = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[\u0617-\u061a\u064b-\u0652]", "")
     if boundaries:
         x = F.regexp_replace(x, r"[.!?،؛؟;:,\n\r]+", " | ")
     x = F.regexp_replace(fold_letters(x), r"[،؛؟٪-٭]", " ")
-    x = F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}_{SPACE}؀-ۿ{'|' if boundaries else ''}]", " ")
+    # the ranges of ASCII stand first: most characters are settled before a property is looked up
+    x = F.regexp_replace(x, rf"[^a-zA-Z0-9 \p{{L}}\p{{N}}_{SPACE}؀-ۿ{'|' if boundaries else ''}]", " ")
     x = F.lower(F.trim(F.regexp_replace(x, f"[{SPACE}]+", " ")))
-    known = F.array_join(F.transform(F.split(x, " "), canonical_token), " ")
-    return F.when(x.rlike(f"[{ARABIC}]"), F.trim(F.regexp_replace(known, " +", " "))).otherwise(x)
+
+    def canonical(t: Column) -> Column:
+        known = F.array_join(F.transform(F.split(t, " "), canonical_token), " ")
+        return F.when(t.rlike(f"[{ARABIC}]"), F.trim(F.regexp_replace(known, " +", " "))).otherwise(t)
+
+    return _once(x, canonical)
 
 
 def fingerprint(c: Column) -> Column:
@@ -46,9 +65,14 @@ def fingerprint(c: Column) -> Column:
     return F.trim(F.regexp_replace(normalise(c), r"\p{Nd}+", ""))
 
 
+def fingerprint_tokens(fp: Column) -> Column:
+    """Distinct tokens of a fingerprint."""
+    return F.array_distinct(F.filter(F.split(fp, " +"), lambda t: t != ""))
+
+
 def tokens(c: Column) -> Column:
-    """Distinct tokens of the fingerprint."""
-    return F.array_distinct(F.filter(F.split(fingerprint(c), " +"), lambda t: t != ""))
+    """Distinct tokens of the fingerprint of a text."""
+    return fingerprint_tokens(fingerprint(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridex.functions import metrics as M
@@ -190,8 +190,9 @@ cent as (select label, list(x / n order by pos) as c from means join lens using
 
 def _protos(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    firsts = e.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 3).alias("ids"))
-    return e.join(firsts.select("label", F.explode("ids").alias("vec_id")), ["label", "vec_id"]).select("label", "embedding")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    firsts = e.select("label", "vec_id").withColumn("_place", place).where("_place <= 3").select("label", "vec_id")  # limited before the shuffle
+    return e.join(firsts, ["label", "vec_id"]).select("label", "embedding")
 
 
 @query(f"with {_CENTROIDS} select label, unnest(range(len(c))) as pos, round(unnest(c), 6) as x from cent")
