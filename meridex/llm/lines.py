@@ -6,7 +6,7 @@ normalised lines form a class, by a 128-bit hash. Each class of the first kind h
 runs of GRAM bytes, one for each of BINS bins. Classes meet in lists by blocks of WIDTH minima, as many blocks (BANDS)
 as it takes that lines with typing errors all over, at the edit similarity asked for, rarely miss each other in all of them.
 In a list, two classes are candidates where PASS or more bins of their sketches agree (by 4 bits each). Candidates are
-verified by edit similarity, linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
+verified by edit similarity (those whose letters alone do not rule it out), linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
 
 A SimHash of 64 bits over the same runs would have to allow about 20 differing bits at that similarity, and one changed
 letter in a line of 40 characters moves about 12: no block of useful length then stays equal. Minima keep the scheme of blocks, at
@@ -209,7 +209,7 @@ def normalise(line: str) -> str:
 
 
 def _texts(batches):
-    """Normalised text of the wanted lines (line: its number, id: its class) of each document."""
+    """Normalised text of the wanted lines (line: its number, id: its class) of each document, and what `_letters` tells of it."""
     for b in batches:
         ids, out = [], []
         for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
@@ -217,7 +217,27 @@ def _texts(batches):
             for w in want:
                 ids.append(w["id"])
                 out.append(normalise(lines[w["line"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "t"])
+        t = pa.array(out, pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), t, _letters(t)], names=["id", "t", "h"])
+
+
+#: Characters of a text, and how often each of a-z and the blank occurs in it, up to 255.
+_LETTERS = np.dtype([("n", "<u4"), ("c", "u1", 27)])
+
+
+def _letters(texts: pa.Array) -> pa.Array:
+    out = np.zeros(len(texts), _LETTERS)
+    raw, off = K.utf8(texts)
+    for i, j in K.pieces(off):
+        code = raw[off[i] : off[j]].astype(np.int64)
+        row = np.repeat(np.arange(j - i), np.diff(off[i : j + 1]))
+        head = (code & 0xC0) != 0x80  # a character's first byte
+        out["n"][i:j] = np.bincount(row[head], minlength=j - i)
+        kind = np.where(code == 32, 26, code - 97)
+        ours = (kind >= 0) & (kind < 27) & (code < 123)
+        each = np.bincount(row[ours] * 27 + kind[ours], minlength=27 * (j - i)).reshape(-1, 27)
+        out["c"][i:j] = np.minimum(each, 255)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(_LETTERS.itemsize), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("chars", "<u2"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
@@ -472,6 +492,19 @@ def alike(xs: list[str], ys: list[str]) -> np.ndarray:
     return ok
 
 
+def _near(batches):
+    """The pairs whose lengths and letters do not rule the similarity out: an edit takes away one letter too many at most, so
+    the distance is no less than the letters that one text has beyond the other's."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), _LETTERS) for k in ("x", "y"))
+        more = x["c"].astype(np.int16) - y["c"]
+        least = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        most = ((1 - SIMILARITY) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
+        m = pa.array((least <= most) & (np.abs(nx - ny) <= most), pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
+
+
 def _verify(batches):
     """The pairs whose edit similarity is high enough."""
     for b in batches:
@@ -502,13 +535,19 @@ def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, Da
     ids = lists.select("id").distinct()
     want = classes.select(F.col("l1").alias("id"), F.col("first.dk").alias("dk"), F.col("first.line").alias("line")).join(ids, "id", "left_semi")
     want = store.save(want.groupBy("dk").agg(F.collect_list(F.struct("id", "line")).alias("want")), "want")  # as many as the document has lines
-    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").select("text", "want").mapInArrow(_texts, "id bigint, t string")
-    texts = store.save(texts.groupBy("id").agg(F.min("t").alias("t")), "texts")
+    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").select("text", "want").mapInArrow(_texts, "id bigint, t string, h binary")
+    texts = store.save(texts.groupBy("id").agg(F.min("t").alias("t"), F.min_by("h", "t").alias("h")), "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-        out = store.save(both.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint"), "links")
+
+        def each(pairs: DataFrame, what: str) -> DataFrame:
+            both = pairs.join(texts.select(F.col("id").alias("a"), F.col(what).alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col(what).alias("y")), "b")
+            return both.select("a", "b", "x", "y")
+
+        # Most pairs fall by their letters alone, so that only the rest meet their texts.
+        near = each(pairs, "h").mapInArrow(_near, "a bigint, b bigint")
+        out = store.save(each(near, "t").mapInArrow(_verify, "a bigint, b bigint"), "links")
         store.drop(pairs)
         return out
 

@@ -6,6 +6,7 @@ import zlib
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -503,3 +504,26 @@ def test_html_names_and_quotes():
         ("<article>" + "<div>" * 3000 + "Text" + "</div>" * 3000 + "</article>", "Text"),
     ]:
         assert extract(html, Wrapper.of_page(html).dumps()) == want
+
+
+def test_letters_keep_every_similar_pair():
+    from meridex.llm import lines
+
+    rnd = np.random.default_rng(3)
+    some = list("abcdefghij klmé漢")
+    xs, ys = ["", "a" * 400], ["", "a" * 390]
+    for _ in range(1500):
+        x = list(rnd.choice(some, rnd.integers(10, 300)))
+        y = list(x)
+        for _ in range(rnd.integers(0, max(2, len(x) // 7))):
+            k = int(rnd.integers(0, max(1, len(y))))
+            y[k : k + int(rnd.integers(0, 2))] = list(rnd.choice(some, rnd.integers(0, 2)))
+        xs.append("".join(x))
+        ys.append("".join(y))
+    place = pa.array(range(len(xs)))
+    pairs = pa.RecordBatch.from_arrays([place, place, lines._letters(pa.array(xs)), lines._letters(pa.array(ys))], names=["a", "b", "x", "y"])
+    kept = set(next(lines._near([pairs])).column("a").to_pylist())
+    similar = set(np.flatnonzero(lines.alike(xs, ys)).tolist())
+    assert len(similar) > 500 and similar <= kept
+    far = pa.RecordBatch.from_arrays([place[:1], place[:1], lines._letters(pa.array(["one two three four"])), lines._letters(pa.array(["five six seven nine"]))], names=["a", "b", "x", "y"])
+    assert next(lines._near([far])).num_rows == 0
