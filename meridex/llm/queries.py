@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridex.llm import html, jaccard, lines, mixing, packing, pitman_yor, tokens, toxicity, vectors
+from meridex.llm import dialogue, html, infill, jaccard, lines, mixing, packing, personal, pitman_yor, tokens, toxicity, vectors
 from meridex.session import Store
 
 
@@ -62,10 +62,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, Store(spark, "op10")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damage(c), c, Store(spark, "op12"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_exact_topk_search, op2_token_counts, op3_toxicity, op4_approximate_nearest_neighbours, op5_mixing_sources,
-              op6_best_fit_packing, op7_html_extraction, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup)
+              op6_best_fit_packing, op7_html_extraction, op8_ngram_jaccard_join, op9_lm_scoring, op10_line_dedup,
+              op11_personal_data, op12_conversation_repair, op13_fill_in_middle)
 }
 
 _TOPK_SQL = """
@@ -93,4 +107,6 @@ ORACLES: dict[str, str] = {
     "op1_exact_topk_search": _TOPK_SQL,
     "op5_mixing_sources": mixing.MIX_SQL.replace("select doc_id, source, size, source_size, target,\n", "select doc_id, size, source_size, target,\n"),
     "op8_ngram_jaccard_join": _JACCARD_SQL,
+    "op12_conversation_repair": dialogue.REPAIR_SQL,
+    "op13_fill_in_middle": infill.INFILL_SQL,
 }
