@@ -361,13 +361,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, start, end, base) of each row of docs (doc_id, text), by start, then kind.
 
     base: a pattern's match; the others are the field's, and never overlap one. Places are code points, ends exclusive. The field
-    is fitted on at most SAMPLE_MOST documents with a match, of at most TOKENS_MOST tokens each, taken by a hash of their text;
+    is fitted on at most SAMPLE_MOST documents with a match, of at most TOKENS_MOST tokens each, one for each class of a hash of their text;
     without any, there are pattern matches alone. Null and empty texts have no spans; repeated rows each get a row; a null
     doc_id stays null; other columns are ignored; an empty table gives an empty result. Every text is read whole; no shuffle.
     """
     x = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = x.select("text").mapInArrow(_sample, "tokens array<string>, place array<bigint>, seen array<int>, o bigint")
-    rows = [r.asDict() for r in sample.orderBy("o", F.col("tokens").cast("string"), F.col("place").cast("string")).limit(SAMPLE_MOST).collect()]
+    least = sample.groupBy((F.col("o") % SAMPLE_MOST).alias("part")).agg(F.min(F.struct("o", "tokens", "place", "seen")).alias("s"))  # combined in each task
+    rows = [r.s.asDict() for r in least.orderBy("part").collect()]
     weights = docs.sparkSession.sparkContext.broadcast(train(rows))
     return x.mapInArrow(_find(weights), "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
 
