@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridex.functions import vocabulary as V
-from meridex.functions.match import has_any
+from meridex.functions.lexicon import free_mask, holds
 from meridex.functions.textfn import normalise, word_count
 
 
-def classify(c: Column) -> Column:
-    """struct(label, severity) of a normal form with boundaries; the first rule that holds decides."""
-    f = {k: has_any(c, terms) for k, terms in V.RULES.items()}
+def classify(c: Column, free: Column | None = None) -> Column:
+    """struct(label, severity) of a normal form with boundaries; the first rule that holds decides.
+
+    free: free_mask(c) where it is at hand, so that several rules share one pass over the text; so below.
+    """
+    mask = free_mask(c) if free is None else free
+    f = {k: holds(mask, f"rule.{k}") for k in V.RULES}
     pain, night, persistent, throbbing, severe = f["pain"], *(f["pain"] & f[k] for k in ("night", "persistent", "throbbing", "severe"))
     transient = f["transient"] & ~f["persistent"]
 
@@ -31,19 +35,20 @@ def classify(c: Column) -> Column:
     )
 
 
-def red_flags(c: Column) -> Column:
+def red_flags(c: Column, free: Column | None = None) -> Column:
     """Codes of the red flags in c, in their fixed order."""
-    u = V.URGENCY
-    flags = [F.when(has_any(c, terms), F.lit(code)) for code, terms in V.RED_FLAGS.items()]
-    feverish = has_any(c, u["fever"]) & (has_any(c, u["swelling"]) | has_any(c, u["pus"]))
+    mask = free_mask(c) if free is None else free
+    flags = [F.when(holds(mask, f"flag.{code}"), F.lit(code)) for code in V.RED_FLAGS]
+    feverish = holds(mask, "urgency.fever") & (holds(mask, "urgency.swelling") | holds(mask, "urgency.pus"))
     flags.append(F.when(feverish, F.lit("fever_with_swelling_or_pus")))
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
-def urgency(label: Column, severity: Column, c: Column, flags: Column | None = None) -> Column:
-    f = {k: has_any(c, terms) for k, terms in V.URGENCY.items()}
+def urgency(label: Column, severity: Column, c: Column, flags: Column | None = None, free: Column | None = None) -> Column:
+    mask = free_mask(c) if free is None else free
+    f = {k: holds(mask, f"urgency.{k}") for k in V.URGENCY}
     unrelieved, night = f["pain"] & f["unrelieved"], f["pain"] & f["night"]
-    urgent = (label.isin(V.CRITICAL) | (F.size(red_flags(c) if flags is None else flags) > 0) | f["pus"]
+    urgent = (label.isin(V.CRITICAL) | (F.size(red_flags(c, mask) if flags is None else flags) > 0) | f["pus"]
               | (f["swelling"] & (f["pain"] | unrelieved)) | ((severity == "High") & night & unrelieved))
     return F.when(urgent, V.URGENT).otherwise(V.NON_URGENT)
 
@@ -81,9 +86,10 @@ def interpret_kappa(k: Column) -> Column:
 
 def rule_engine(df: DataFrame, text: str = "text") -> DataFrame:
     """df with label, severity, urgency, red_flags and a null confidence, by rules alone."""
-    out = df.withColumn("_n", normalise(F.col(text), boundaries=True)).withColumn("_c", classify(F.col("_n"))).withColumn("red_flags", red_flags(F.col("_n")))
-    out = out.withColumn("label", F.col("_c.label")).withColumn("urgency", urgency(F.col("label"), F.col("_c.severity"), F.col("_n"), F.col("red_flags")))
-    return out.withColumn("severity", final_severity(F.col("label"), F.col("urgency"))).withColumn("confidence", F.lit(None).cast("double")).drop("_n", "_c")
+    n, m = F.col("_n"), F.col("_m")
+    out = df.withColumn("_n", normalise(F.col(text), boundaries=True)).withColumn("_m", free_mask(n)).withColumn("_c", classify(n, m)).withColumn("red_flags", red_flags(n, m))
+    out = out.withColumn("label", F.col("_c.label")).withColumn("urgency", urgency(F.col("label"), F.col("_c.severity"), n, F.col("red_flags"), m))
+    return out.withColumn("severity", final_severity(F.col("label"), F.col("urgency"))).withColumn("confidence", F.lit(None).cast("double")).drop("_n", "_m", "_c")
 
 
 def analyse(df: DataFrame, text: str = "text", suggestion: str = "suggestion") -> DataFrame:
@@ -93,9 +99,10 @@ def analyse(df: DataFrame, text: str = "text", suggestion: str = "suggestion") -
     """
     s = F.col(suggestion)
     x = df.withColumn("_plain", normalise(F.col(text))).withColumn("_n", normalise(F.col(text), boundaries=True))
-    x = x.withColumn("_r", classify(F.col("_n"))).withColumn("_f", red_flags(F.col("_n")))
+    n, m = F.col("_n"), F.col("_m")
+    x = x.withColumn("_m", free_mask(n)).withColumn("_r", classify(n, m)).withColumn("_f", red_flags(n, m))
     x = x.withColumn("_d", hybrid_decision(F.col("_r.label"), s["label"]))
-    x = x.withColumn("_u", urgency(F.col("_d"), F.col("_r.severity"), F.col("_n"), F.col("_f"))).withColumn("_s", final_severity(F.col("_d"), F.col("_u")))
+    x = x.withColumn("_u", urgency(F.col("_d"), F.col("_r.severity"), n, F.col("_f"), m)).withColumn("_s", final_severity(F.col("_d"), F.col("_u")))
     x = x.withColumn("_c", confidence(s["label"], s["score"]))
     said = lambda label, c: F.struct(label.alias("label"), F.round(c, 3).alias("confidence"))
     second = F.when(s["second_label"].isNotNull(), said(s["second_label"], F.coalesce(s["second_score"], F.lit(0.0))))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridex import derived as D
+from meridex.functions import lexicon, rules, textfn, vector
 from meridex.functions import metrics as M
-from meridex.functions import rules, textfn, vector
 from meridex.functions import vocabulary as V
-from meridex.functions.golden import CASES
-from meridex.functions.match import has_any, is_negated
+from meridex.functions.match import is_negated
 from meridex.operators import dedup, simjoin
 from meridex.session import Store
 from meridex.sources import io
@@ -38,14 +38,8 @@ def _docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", "source", (F.col("doc_id") % 2).alias("split"))
 
 
-def _rows(values: list[tuple], columns: list[str]) -> str:
-    """SQL of a table of given values."""
-    say = lambda v: "null" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v))
-    return f"(select * from (values {', '.join('(' + ', '.join(map(say, r)) + ')' for r in values)}) t({', '.join(columns)}))"
-
-
 # --- text functions -------------------------------------------------------------------------------------------------
-# No letter of the driver's tables is Arabic, so folding and the dialect map change nothing there; golden rows cover them.
+# No letter of the driver's tables is Arabic, so folding and the dialect map change nothing there; derived rows cover them.
 _NORM = r"lower(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_\t-\r \x{0600}-\x{06FF}]', ' ', 'g'), '[\t-\r ]+', ' ', 'g')))"
 _FP = rf"trim(regexp_replace({_NORM}, '\p{{Nd}}+', '', 'g'))"
 _TOKS = f"list_distinct(list_filter(string_split({_FP}, ' '), lambda x: x <> ''))"
@@ -102,81 +96,98 @@ def spoken_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", textfn.spoken_normalise(F.col("text")).alias("spoken"))
 
 
-# --- rules: golden rows; their SQL restates expectations and is no computation of its own -----------------------------------
-def _golden(spark) -> DataFrame:
-    return spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "id int, text string")
+# --- rules: sentences derived from documents, labelled in SQL by joins on tokens ----------------------------------------------
+def _sentences(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", D.sentence().alias("text"))
 
 
-@query("select id, label, urgency from " + _rows([(i, label, u) for i, (_, label, u) in enumerate(CASES)], ["id", "label", "urgency"]))
-def rule_classify(spark, sf_dir):
-    return rules.rule_engine(_golden(spark)).select("id", "label", "urgency")
-
+@query(f"with {D.rows_sql()} select doc_id, trim(regexp_replace(array_to_string(p.t, ' '), ' +', ' ', 'g')) as norm, array_to_string(b.t, ' ') as norm_boundaries from plain p join toks b using (doc_id)")
+def text_normalise_arabic(spark, sf_dir):
+    t = F.col("text")
+    return _sentences(spark, sf_dir).select("doc_id", textfn.normalise(t).alias("norm"), textfn.normalise(t, True).alias("norm_boundaries"))
 
-_SEVERE = [(i, "High" if u == V.URGENT else V.SEVERITY_OF[label]) for i, (_, label, u) in enumerate(CASES)]
 
-
-@query("select id, severity from " + _rows(_SEVERE, ["id", "severity"]))
-def final_severity(spark, sf_dir):
-    return rules.rule_engine(_golden(spark)).select("id", "severity")
+@query(f"with {D.spans_sql()} select doc_id, lexicon, start, stop, negated from hits")
+def lexicon_match(spark, sf_dir):
+    hits = _sentences(spark, sf_dir).select("doc_id", F.explode(lexicon.spans(textfn.normalise(F.col("text"), True))).alias("s"))
+    return hits.select("doc_id", "s.lexicon", "s.start", F.col("s.end").alias("stop"), "s.negated")
 
 
-_FLAGGED = [(0, "عندي حرارة", ""), (1, "حرارة وتورم في الخد", "fever_with_swelling_or_pus"), (2, "ما في صعوبة في البلع", ""), (3, "صعوبة في البلع وألم في السن", "dysphagia"),
-            (4, "لا أستطيع فتح فمي بعد قلع الضرس", "trismus"), (5, "نزيف لا يتوقف بعد خلع السن", "uncontrolled_bleeding"), (6, "سقطت وانكسر السن", "trauma"), (7, "تورم الوجه وضيق التنفس", "breathing_difficulty;spreading_facial_swelling")]
+@query(f"with {D.scope_sql()} select doc_id, i, negated from scope")
+def negation_scope(spark, sf_dir):
+    t = _sentences(spark, sf_dir).select("doc_id", F.split(textfn.normalise(F.col("text"), True), " ").alias("t"))
+    each = t.select("doc_id", "t", F.posexplode("t").alias("p", "tok"))
+    before = F.concat(F.array_join(F.slice("t", F.lit(1), F.col("p")), " "), F.lit(" "))
+    return each.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), is_negated(before).alias("negated"))
 
 
-@query("select id, flags from " + _rows([(i, f) for i, _, f in _FLAGGED], ["id", "flags"]))
-def red_flags(spark, sf_dir):
-    t = spark.createDataFrame([(i, x) for i, x, _ in _FLAGGED], "id int, text string")
-    return t.select("id", F.array_join(rules.red_flags(textfn.normalise(F.col("text"), True)), ";").alias("flags"))
+@query(f"with {D.labels_sql()} select doc_id, label, case when urgent then 'Urgent' else 'Non-Urgent' end as urgency from lab")
+def rule_classify(spark, sf_dir):
+    return rules.rule_engine(_sentences(spark, sf_dir)).select("doc_id", "label", "urgency")
 
 
-_URGENT = [(0, V.UNCLEAR, "High", "الم بالليل مستمر", V.URGENT), (1, V.UNCLEAR, "Low", "الم بالليل مستمر", V.NON_URGENT), (2, V.ABSCESS, "Low", "", V.URGENT), (3, V.DEEP, "Moderate", "تورم مع الم", V.URGENT),
-           (4, V.DEEP, "Moderate", "بدون تورم مع الم", V.NON_URGENT), (5, V.GINGIVITIS, "Low", "قيح", V.URGENT), (6, V.SURFACE, "Low", "بارد", V.NON_URGENT)]
+@query(f"with {D.labels_sql()} select doc_id, case when urgent then 'High' else severity end as severity from lab")
+def final_severity(spark, sf_dir):
+    return rules.rule_engine(_sentences(spark, sf_dir)).select("doc_id", "severity")
 
 
-@query("select id, urgency from " + _rows([(r[0], r[4]) for r in _URGENT], ["id", "urgency"]))
-def urgency(spark, sf_dir):
-    t = spark.createDataFrame([r[:4] for r in _URGENT], "id int, label string, severity string, text string")
-    return t.select("id", rules.urgency(F.col("label"), F.col("severity"), F.col("text")).alias("urgency"))
+@query(f"with {D.labels_sql()} select doc_id, array_to_string(flags, ';') as flags from lab")
+def red_flags(spark, sf_dir):
+    return _sentences(spark, sf_dir).select("doc_id", F.array_join(rules.red_flags(textfn.normalise(F.col("text"), True)), ";").alias("flags"))
 
 
-_MATCH = [(0, "بدون تورم ولا قيح", False), (1, "عندي تورم", True), (2, "ما في تورم بس تورم شديد", True), (3, "لا يوجد الم شديد او تورم", False), (4, "لا يوجد الم في السن تورم", True), (5, "بدون الم | تورم", True), (6, "والتورم", True), (7, "قدم", False)]
+_LABEL, _SEVERITY = D.choice_sql(V.LABELS, "label"), D.choice_sql(["High", "Moderate", "Low"], "severity")
 
 
-@query("select id, found from " + _rows([(i, f) for i, _, f in _MATCH], ["id", "found"]))
-def lexicon_match(spark, sf_dir):
-    t = spark.createDataFrame([(i, x) for i, x, _ in _MATCH], "id int, text string")
-    return t.select("id", has_any(F.col("text"), V.RULES["swelling"]).alias("found"))
+@query(f"with {D.labels_sql()} select doc_id, case when {D.urgent_sql(_LABEL, _SEVERITY)} then 'Urgent' else 'Non-Urgent' end as urgency from lab")
+def urgency(spark, sf_dir):
+    t = _sentences(spark, sf_dir).withColumn("n", textfn.normalise(F.col("text"), True))  # labels and severities of any kind: the rules give night pain no chance
+    return t.select("doc_id", rules.urgency(D.choice(V.LABELS, "label"), D.choice(["High", "Moderate", "Low"], "severity"), F.col("n")).alias("urgency"))
 
 
-_SCOPE = [(0, "بدون ", True), (1, "بدون الم ", True), (2, "بدون الم في ", True), (3, "بدون الم في السن ", False), (4, "بدون الم تلقائي او ", True), (5, "بدون الم تلقائي في او ", False), (6, "ولا ", True), (7, "ولا الم ", False),
-          (8, "بدون الم بس ", False), (9, "ما في ", True), (10, "وما في ", True), (11, "ما اعاني من ", True), (12, "", False), (13, "مو | ", False), (14, "ندم ", False)]
+@query(f"with {D.labels_sql()} select doc_id, label, case when urgent then 'Urgent' else 'Non-Urgent' end as urgency, len(flags)::bigint as flags from lab")
+def triage_documents(spark, sf_dir):
+    # whole texts and their sentences behind a boundary; SQL sees the sentences, as no text has a letter of the lexicons
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" . "), D.sentence())
+    r = rules.rule_engine(table(spark, sf_dir, "documents").select("doc_id", t.alias("text")))
+    return r.select("doc_id", "label", "urgency", F.size("red_flags").cast("bigint").alias("flags"))
 
 
-@query("select id, negated from " + _rows([(i, f) for i, _, f in _SCOPE], ["id", "negated"]))
-def negation_scope(spark, sf_dir):
-    t = spark.createDataFrame([(i, x) for i, x, _ in _SCOPE], "id int, text string")
-    return t.select("id", is_negated(F.col("text")).alias("negated"))
+@query(f"select 'ok' as status, true as model_loaded, '{V.MODEL_VERSION}' as model_version, count(*) as prototypes from embeddings")
+def health(spark, sf_dir):
+    return rules.health(spark).crossJoin(table(spark, sf_dir, "embeddings").agg(F.count("*").alias("prototypes")))  # a row each
 
 
-@query(f"select doc_id, '{V.UNCLEAR}' as label, 'Non-Urgent' as urgency, 0::bigint as flags from documents")
-def triage_documents(spark, sf_dir):
-    r = rules.rule_engine(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return r.select("doc_id", "label", "urgency", F.size("red_flags").cast("bigint").alias("flags"))
+# The encoder's say is derived too: a label, a score in steps of 0.001, and in two of three rows a second label.
+_SAID = f"""said as (select *, {D.choice_sql(V.LABELS, 'model')} as model, {D.hashed_sql('score')} % 1000 / 1000.0::double as score,
+case when {D.hashed_sql('second')} % 3 > 0 then {D.choice_sql(V.LABELS, 'runner')} end as second from lab),
+chosen as (select *, case when label in ('{V.CRITICAL[0]}', '{V.CRITICAL[1]}') or model = '{V.UNCLEAR}' then label when label = '{V.UNCLEAR}'
+{' '.join(f"or (label = '{k}' and model in ({', '.join(chr(39) + x + chr(39) for x in v)}))" for k, v in V.SAFE_UPGRADES.items() if v and k != V.UNCLEAR)} then model else label end as final,
+least(0.9, case when model = '{V.UNCLEAR}' then 0.5 else score end) as conf from said),
+judged as (select *, {D.urgent_sql('final', 'severity')} as alarm from chosen),
+result as (select *, case when alarm then 'High' else case final {' '.join(f"when '{k}' then '{v}'" for k, v in V.SEVERITY_OF.items())} end end as final_severity from judged)"""
 
 
-@query("select 'ok' as status, true as model_loaded, 'arabert_symptoms_v1' as model_version")
-def health(spark, sf_dir):
-    return rules.health(spark)
+def _analysed(spark, sf_dir) -> DataFrame:
+    second = F.when(D.hashed("second") % 3 > 0, D.choice(V.LABELS, "runner"))
+    said = F.struct(D.choice(V.LABELS, "model").alias("label"), (D.hashed("score") % 1000 / 1000).alias("score"), second.alias("second_label"), F.when(second.isNotNull(), F.lit(0.25)).alias("second_score"))
+    return rules.analyse(_sentences(spark, sf_dir).withColumn("suggestion", said))
 
 
-_EXPLAINED = [(0, "High", "Urgent", V.EXPLAIN_URGENT), (1, "Moderate", "Non-Urgent", V.EXPLAIN_MODERATE), (2, "Low", "Non-Urgent", V.EXPLAIN_LOW), (3, "High", "Non-Urgent", V.EXPLAIN_ELSE)]
+@query(f"""with {D.labels_sql()}, {_SAID}
+select r.doc_id, array_to_string(p.t, ' ') as clean_text, label as rule_diagnosis, final as diagnosis, model as arabert_diagnosis, second as arabert_second, final_severity as severity, lower(final_severity) as severity_level,
+case when alarm then 'Urgent' else 'Non-Urgent' end as urgency, array_to_string(flags, ';') as flags, round(conf, 6) as confidence, case when conf >= 0.75 then 'high' when conf >= 0.5 then 'medium' else 'low' end as confidence_level,
+final || coalesce(';' || second, '') as suspected, len(list_filter(p.t, lambda x: x <> ''))::int as tokens_length, '{V.MODEL_VERSION}' as model_version from result r join plain p using (doc_id)""")
+def analyse_pipeline(spark, sf_dir):
+    r = _analysed(spark, sf_dir)
+    return r.select("doc_id", "clean_text", "rule_diagnosis", "diagnosis", "arabert_diagnosis", "arabert_second", "severity", "severity_level", "urgency", F.array_join("red_flags", ";").alias("flags"),
+                    F.round("confidence", 6).alias("confidence"), "confidence_level", F.array_join(F.transform("suspected_conditions", lambda s: s["label"]), ";").alias("suspected"),
+                    F.col("metadata.tokens_length").alias("tokens_length"), "model_version")
 
 
-@query("select id, said from " + _rows([(r[0], r[3]) for r in _EXPLAINED], ["id", "said"]))
+@query(f"""with {D.labels_sql()}, {_SAID} select doc_id, case when alarm then '{V.EXPLAIN_URGENT}' when final_severity = 'Moderate' then '{V.EXPLAIN_MODERATE}' when final_severity = 'Low' then '{V.EXPLAIN_LOW}' else '{V.EXPLAIN_ELSE}' end as said from result""")
 def patient_explanation(spark, sf_dir):
-    t = spark.createDataFrame([r[:3] for r in _EXPLAINED], "id int, severity string, urgency string")
-    return t.select("id", rules.explanation(F.col("severity"), F.col("urgency")).alias("said"))
+    return _analysed(spark, sf_dir).select("doc_id", F.col("patient_explanation").alias("said"))
 
 
 # --- vectors: prototypes are the three vectors of least vec_id of each label ------------------------------------------------
@@ -242,14 +253,6 @@ def confidence_bucket(spark, sf_dir):
     return _suggested(spark, sf_dir).withColumn("c", c).select("vec_id", F.round("c", 6).alias("confidence"), rules.confidence_level(F.col("c")).alias("level"))
 
 
-@query("select id, n, rule_diagnosis, diagnosis, level from " + _rows([(0, 2, V.IRREVERSIBLE, V.IRREVERSIBLE, "high"), (1, 1, V.UNCLEAR, V.DEEP, "medium"), (2, 2, V.SURFACE, V.SURFACE, "medium"), (3, 2, V.SURFACE, V.REVERSIBLE, "high")], ["id", "n", "rule_diagnosis", "diagnosis", "level"]))
-def analyse_pipeline(spark, sf_dir):
-    rows = [(0, "ألم شديد مستمر يوقظني من النوم", (V.DEEP, 0.8, V.ABSCESS, 0.5)), (1, "مرحبا", (V.DEEP, 0.6, None, None)), (2, "حساسية خفيفة من الحلو", (V.UNCLEAR, 0.4, V.DEEP, 0.39)), (3, "حساسية خفيفة من الحلو", (V.REVERSIBLE, 0.95, V.DEEP, 0.3))]
-    t = spark.createDataFrame(rows, "id int, text string, suggestion struct<label:string,score:double,second_label:string,second_score:double>")
-    r = rules.analyse(t)
-    return r.select("id", F.size("suspected_conditions").alias("n"), "rule_diagnosis", "diagnosis", F.col("confidence_level").alias("level"))
-
-
 # --- similarity, duplicates, splits -------------------------------------------------------------------------------------
 _T = f"t as (select doc_id as id, {_FP} as fp, {_TOKS} as a, source, doc_id % 2 as split from documents)"
 _PAIRS = f"""{_T}, e as (select id, len(a) as n, unnest(a) as tok from t),
@@ -411,9 +414,16 @@ def disagreements(spark, sf_dir):
     return M.disagreements(_annotated(spark, sf_dir)).select("doc_id")
 
 
-@query("select k, case when k >= 0.8 then 'almost perfect' when k >= 0.7 then 'good - acceptable for a gold set' when k >= 0.6 then 'moderate - tighten the guidelines' else 'poor - do not use as ground truth' end as said from (select x / 20.0::double as k from range(21) r(x))")
+_KAPPAS = """l as (select source, quality as a, toxic as b from labels join documents using (doc_id)), n as (select source, count(*) as n, count(*) filter (a = b) / count(*)::double as po from l group by source),
+e as (select source, sum(ka * kb) as e from (select source, a as x, count(*) as ka from l group by all) join (select source, b as x, count(*) as kb from l group by all) using (source, x) group by source),
+ks as (select source, n, (po - coalesce(e, 0) / (n * n)) / (1 - coalesce(e, 0) / (n * n)) as k from n left join e using (source))"""
+
+
+@query(f"with {_KAPPAS} select source, case when k + 0.7 >= 0.8 then 'almost perfect' when k + 0.7 >= 0.7 then 'good - acceptable for a gold set' when k + 0.7 >= 0.6 then 'moderate - tighten the guidelines' else 'poor - do not use as ground truth' end as said from ks")
 def interpret_kappa(spark, sf_dir):
-    return spark.range(21).select((F.col("id") / 20).alias("k")).select("k", rules.interpret_kappa(F.col("k")).alias("said"))
+    # the annotations agree by chance only, so their kappas are moved to where the bounds of the levels are
+    t = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return M.kappa(t, ["source"], "quality", "toxic").select("source", rules.interpret_kappa(F.col("kappa") + 0.7).alias("said"))
 
 
 @query("""with u as (select count(*) filter (toxic = 1 and n_chars > 1000) as tp, count(*) filter (toxic = 1 and n_chars <= 1000) as fn, count(*) filter (toxic = 0 and n_chars > 1000) as fp, count(*) filter (toxic = 0 and n_chars <= 1000) as tn

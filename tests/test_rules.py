@@ -1,8 +1,8 @@
+from golden import CASES
 from pyspark.sql import functions as F
 
 from meridex.functions import rules, textfn
 from meridex.functions import vocabulary as V
-from meridex.functions.golden import CASES
 from meridex.functions.match import has_any, is_negated, negators
 
 
@@ -83,3 +83,32 @@ def test_stream(spark, tmp_path):
     q = triage_stream(spark.readStream.schema("text string").json(str(tmp_path / "in"))).writeStream.format("memory").queryName("triage").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.label for r in spark.table("triage").collect()] == [V.ABSCESS]
+
+
+def test_flags_of_known_texts(spark):
+    known = {"عندي حرارة": [], "حرارة وتورم في الخد": ["fever_with_swelling_or_pus"], "ما في صعوبة في البلع": [], "صعوبة في البلع وألم في السن": ["dysphagia"], "لا أستطيع فتح فمي بعد قلع الضرس": ["trismus"],
+             "نزيف لا يتوقف بعد خلع السن": ["uncontrolled_bleeding"], "سقطت وانكسر السن": ["trauma"], "تورم الوجه وضيق التنفس": ["breathing_difficulty", "spreading_facial_swelling"]}
+    assert dict(values(spark, known, "text", rules.red_flags(textfn.normalise(F.col("text"), True)))) == known
+
+
+def test_urgency_of_known_rows(spark):
+    known = [(V.UNCLEAR, "High", "الم بالليل مستمر", V.URGENT), (V.UNCLEAR, "Low", "الم بالليل مستمر", V.NON_URGENT), (V.ABSCESS, "Low", "", V.URGENT), (V.DEEP, "Moderate", "تورم مع الم", V.URGENT),
+             (V.DEEP, "Moderate", "بدون تورم مع الم", V.NON_URGENT), (V.GINGIVITIS, "Low", "قيح", V.URGENT), (V.SURFACE, "Low", "بارد", V.NON_URGENT)]
+    t = spark.createDataFrame(known, "label string, severity string, text string, want string")
+    assert all(r.want == r.got for r in t.select("want", rules.urgency(F.col("label"), F.col("severity"), F.col("text")).alias("got")).collect())
+
+
+def test_matches_and_scopes_of_known_texts(spark):
+    found = {"بدون تورم ولا قيح": False, "عندي تورم": True, "ما في تورم بس تورم شديد": True, "لا يوجد الم شديد او تورم": False, "لا يوجد الم في السن تورم": True, "بدون الم | تورم": True, "والتورم": True, "قدم": False}
+    assert dict(values(spark, found, "text", has_any(F.col("text"), V.RULES["swelling"]))) == found
+    scope = {"بدون ": True, "بدون الم ": True, "بدون الم في ": True, "بدون الم في السن ": False, "بدون الم تلقائي او ": True, "بدون الم تلقائي في او ": False, "ولا ": True, "ولا الم ": False, "بدون الم بس ": False,
+             "ما في ": True, "وما في ": True, "ما اعاني من ": True, "مو | ": False}
+    assert dict(values(spark, scope, "text", is_negated(F.col("text")))) == scope
+
+
+def test_analysis_of_known_rows(spark):
+    rows = [("ألم شديد مستمر يوقظني من النوم", (V.DEEP, 0.8, V.ABSCESS, 0.5), 2, V.IRREVERSIBLE, V.IRREVERSIBLE, "high"), ("مرحبا", (V.DEEP, 0.6, None, None), 1, V.UNCLEAR, V.DEEP, "medium"),
+            ("حساسية خفيفة من الحلو", (V.UNCLEAR, 0.4, V.DEEP, 0.39), 2, V.SURFACE, V.SURFACE, "medium"), ("حساسية خفيفة من الحلو", (V.REVERSIBLE, 0.95, V.DEEP, 0.3), 2, V.SURFACE, V.REVERSIBLE, "high")]
+    t = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "id int, text string, suggestion struct<label:string,score:double,second_label:string,second_score:double>")
+    got = rules.analyse(t).orderBy("id").select(F.size("suspected_conditions"), "rule_diagnosis", "diagnosis", "confidence_level").collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
