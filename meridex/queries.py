@@ -278,6 +278,29 @@ def split_leakage(spark, sf_dir):
     return r.select("kind", "key", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+def _lines(name: str, key: str) -> str:
+    """SQL of (key, line, a: token set) of every line of a table's texts."""
+    return f"(select {key}, line, {_TOKS} as a from (select {key}, unnest(string_split(coalesce(text, ''), e'\\n')) as text, unnest(range(len(string_split(coalesce(text, ''), e'\\n')))) as line from {name}))"
+
+
+@query(f"""with d as (select doc_id, line, len(a) as n, unnest(a) as tok from {_lines('documents', 'doc_id')}), b as (select item_id, line as item_line, len(a) as n, unnest(a) as tok from {_lines('benchmark', 'item_id')})
+select doc_id, line, item_id, item_line, round(count(*)::double / (d.n + b.n - count(*)), 9) as score from d join b using (tok) group by doc_id, line, item_id, item_line, d.n, b.n having count(*)::double / (d.n + b.n - count(*)) >= 0.6""")
+def benchmark_leakage(spark, sf_dir):
+    """Lines of documents that repeat, or nearly, a line of the benchmark."""
+    most = 10**6  # a line's place within its text's ids
+    each = lambda name, key: table(spark, sf_dir, name).select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text")).select((F.col(key) * most + F.col("line")).alias("row_id"), "text")
+    m = simjoin.cross_matches(each("documents", "doc_id"), each("benchmark", "item_id"), 0.6)
+    place = lambda c, key, line: [F.floor(F.col(c) / most).cast("bigint").alias(key), (F.col(c) % most).cast("bigint").alias(line)]
+    return m.select(*place("left_id", "doc_id", "line"), *place("right_id", "item_id", "item_line"), F.round("score", 9).alias("score"))
+
+
+@query(f"""with {_T}, e as (select id, len(a) as n, unnest(a) as tok from t), b as (select item_id, len(x) as n, unnest(x) as tok from (select item_id, {_TOKS} as x from benchmark))
+select id as doc_id, item_id, round(count(*)::double / (e.n + b.n - count(*)), 9) as score from e join b using (tok) group by id, item_id, e.n, b.n having count(*)::double / (e.n + b.n - count(*)) >= 0.2""")
+def benchmark_near_documents(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    return simjoin.cross_matches(_docs(spark, sf_dir), b, 0.2).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.round("score", 9).alias("score"))
+
+
 @query(f"""with {_PAIRS}, w as (select len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> ''))::bigint as w from documents)
 select (select count(*) from t) as n_rows, (select count(distinct fp) from t) as n_distinct, (select count(*) from (select 1 from t where fp <> '' group by fp having count(*) > 1)) as exact_groups,
 (select count(*) from near) as near_pairs, min(w) as words_min, list_sort(list(w))[count(*) // 2 + 1] as words_median, max(w) as words_max from w""")
