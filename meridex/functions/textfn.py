@@ -40,7 +40,8 @@ def dialect_forms() -> dict[str, str]:
 def canonical_token(tok: Column) -> Column:
     """Dialect form of a whole token, with or without a clitic prefix; else the token."""
     forms = F.create_map(*[F.lit(x) for kv in dialect_forms().items() for x in kv])
-    return F.coalesce(F.try_element_at(forms, tok), tok)
+    # every form begins with an Arabic letter: a look at one character spares other tokens the walk through the map
+    return F.when(F.substring(tok, 1, 1).between("ء", "ي"), F.coalesce(F.try_element_at(forms, tok), tok)).otherwise(tok)
 
 
 def normalise(c: Column, boundaries: bool = False) -> Column:

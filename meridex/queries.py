@@ -14,7 +14,7 @@ from meridex.functions import vocabulary as V
 from meridex.functions.match import is_negated
 from meridex.operators import dedup, simjoin
 from meridex.session import Store
-from meridex.sources import io
+from meridex.sources import io, remote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,6 +212,21 @@ def prototype_centroid(spark, sf_dir):
     return c.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
+_SEQUENCES = """seq as (select case when vec_id % 5 = 0 then 's' || (vec_id // 100) else 'l' || (vec_id // 500) end as seq, vec_id % 500 as pos, (vec_id % 7 <> 0 and vec_id // 100 % 4 <> 1)::int as mask, embedding from embeddings)"""
+
+
+@query(f"""with {_SEQUENCES}, d as (select seq, mask, unnest(range(len(embedding))) as dim, unnest(embedding)::double as x from seq where pos < 256),
+m as (select seq, dim, sum(x * mask) / greatest(sum(mask), 1e-9) as x from d group by all), n as (select seq, greatest(sqrt(sum(x * x)), 1e-12) as n from m group by seq)
+select seq, dim, round(x / n, 6) + 0.0 as x from m join n using (seq)""")
+def encode_pooled(spark, sf_dir):
+    """Vectors as the token vectors of sequences of up to 400 tokens, some of them masked, some sequences wholly."""
+    e = table(spark, sf_dir, "embeddings")
+    seq = F.expr("case when vec_id % 5 = 0 then 's' || cast(vec_id div 100 as string) else 'l' || cast(vec_id div 500 as string) end")
+    t = e.select(seq.alias("seq"), (F.col("vec_id") % 500).alias("pos"), F.expr("cast(vec_id % 7 <> 0 and vec_id div 100 % 4 <> 1 as int)").alias("mask"), "embedding")
+    p = vector.pool_tokens(t, "seq")
+    return p.select("seq", F.posexplode("embedding").alias("dim", "x")).select("seq", F.col("dim").cast("bigint").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
+
+
 def _suggested(spark, sf_dir, min_score=0.2, min_margin=0.02) -> DataFrame:
     cents = [(r.label, list(r.centroid)) for r in vector.centroids(_protos(spark, sf_dir)).orderBy("label").collect()]  # a row per label
     return vector.suggest(table(spark, sf_dir, "embeddings"), cents, min_score=min_score, min_margin=min_margin, unclear=-1)
@@ -504,8 +519,12 @@ def error_rows(spark, sf_dir):
     return io.errors(t).select("doc_id", "quality", "toxic")
 
 
-@query("select page_id, sha256(html) as content_hash from pages")
+@query("select page_id, sha256(html) as content_hash, len(html)::bigint as result from pages")
 def content_cache(spark, sf_dir):
+    """Pages through a read-through cache: a third of them is kept before, the others are computed and kept now."""
     files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    cache = files.select(F.concat_ws("_", F.sha2("content", 256), F.lit("m"), F.lit("ar")).alias("key")).distinct().withColumn("result", F.substring_index("key", "_", 1))
-    return io.cached_results(files, cache, "m", "ar").select(F.col("path").cast("bigint").alias("page_id"), F.col("result").alias("content_hash"))
+    compute = lambda misses: misses.select("key", F.length(F.decode("content", "UTF-8")).cast("string").alias("result"))
+    cache = Store(spark, "cache").root
+    remote.cached_results(files.where("cast(path as bigint) % 3 = 0"), cache, "m", "ar", compute)
+    r = remote.cached_results(files, cache, "m", "ar", compute)
+    return r.select(F.col("path").cast("bigint").alias("page_id"), F.substring_index("key", "_", 1).alias("content_hash"), F.col("result").cast("bigint").alias("result"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridex.functions import metrics as M
-from meridex.plans import report
+from meridex.plans import engines, report
 from meridex.sources import io
 
 
@@ -54,7 +54,7 @@ def test_end_to_end(spark, tmp_path):
     rows = io.labelled(io.read_csv(spark, str(tmp_path / "g.csv")))
     assert [r.id for r in rows.orderBy("row_id").collect()] == ["1", "2", "3", "4"]
     scored = io.select_split(rows)
-    ev = report.evaluate(report.predict_by_rules(scored), rows)
+    ev = report.evaluate(engines.predict("rules", scored), rows)
     assert ev["result"]["n"] == 3 and ev["result"]["accuracy"] == 1 and ev["result"]["red_flag_recall"] == 1 and not ev["failures"]
     text = report.markdown(ev, "rules", "test")
     assert "## Quality gate" in text and "- PASS" in text
@@ -63,7 +63,7 @@ def test_end_to_end(spark, tmp_path):
     ev = report.evaluate(joined, rows)
     assert any("urgent recall" in f for f in ev["failures"]) and ev["result"]["under_triage"] == 2
     assert io.write_errors(joined, str(tmp_path / "e.csv")) == 3
-    with pytest.raises(ValueError, match="no prediction"):
+    with pytest.raises(ValueError, match="predictions missing for 1 ids"):
         io.join_predictions(scored, preds.where("id <> '2'"))
     with pytest.raises(ValueError, match="unknown labels"):
         io.labelled(rows.withColumn("label", F.lit("odd")))
