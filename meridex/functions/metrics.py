@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridex.functions import vocabulary as V
+from meridex.operators.order import running
+from meridex.session import Store
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -67,24 +69,18 @@ def ece(df: DataFrame, confidence: str = "confidence", correct: str = "correct",
     return g.agg(F.coalesce(F.sum(gap) / F.sum("k"), F.lit(0.0)).alias("ece"))
 
 
-def risk_coverage(df: DataFrame, confidence: str = "confidence", correct: str = "correct", order: str = "row_id", points: int = 10) -> DataFrame:
-    """point, coverage, accuracy when only the most confident are answered; ties go by `order`.
+def risk_coverage(df: DataFrame, confidence: str = "confidence", correct: str = "correct", order: str = "row_id", points: int = 10, store: Store | None = None) -> DataFrame:
+    """point, coverage, accuracy when only the most confident are answered; ties go by `order`, rows without a confidence come last.
 
-    Ranks run in chunks of the confidence's range, then over the chunks' counts.
+    Ranks and hits are made by ranges of (confidence, order), so rows of one confidence are dealt over tasks as well.
     """
-    chunk = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.0)))) * 1024)
-    x = df.select(F.col(confidence).alias("c"), F.col(correct).cast("int").alias("ok"), F.col(order).alias("o"), chunk.alias("chunk"))
-    sums = x.groupBy("chunk").agg(F.count("*").alias("k"), F.sum("ok").alias("s"))  # 1025 rows at most
-    past = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("chunk", F.coalesce(F.sum("k").over(past), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(past), F.lit(0)).alias("s0"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("chunk").orderBy(F.desc("c"), "o")
-    r = x.withColumn("i", F.row_number().over(inside)).withColumn("t", F.sum("ok").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sums, "chunk")
-    r = r.select((F.col("k0") + F.col("i")).alias("take"), (F.col("s0") + F.col("t")).alias("hits"), "n")
+    x = df.select(F.col(confidence).alias("c"), F.col(correct).cast("int").alias("ok"), F.col(order).alias("o"))
+    r = running(x, [F.desc_nulls_last("c"), F.asc("o")], store or Store(df.sparkSession, "coverage"), {"hits": F.col("ok")}).select(F.col("rank").alias("take"), "hits")
     ks = df.sparkSession.range(1, points + 1).withColumnRenamed("id", "point")
     n = df.agg(F.count("*").alias("n"))
-    ks = ks.join(n, F.lit(True)).select("point", F.when(F.col("n") > 0, F.greatest(F.lit(1.0), F.rint(F.col("n") * F.col("point") / points))).otherwise(0.0).cast("bigint").alias("take"))
+    ks = ks.join(n, F.lit(True)).select("point", "n", F.when(F.col("n") > 0, F.greatest(F.lit(1.0), F.rint(F.col("n") * F.col("point") / points))).otherwise(0.0).cast("bigint").alias("take"))
     got = ks.join(r, "take", "left")
-    return got.select("point", F.coalesce(F.col("take") / F.col("n"), F.lit(0.0)).alias("coverage"), F.coalesce(F.col("hits") / F.col("take"), F.lit(0.0)).alias("accuracy"))
+    return got.select("point", F.when(F.col("n") > 0, F.col("take") / F.col("n")).otherwise(0.0).alias("coverage"), F.coalesce(F.when(F.col("take") > 0, F.col("hits") / F.col("take")), F.lit(0.0)).alias("accuracy"))
 
 
 def kappa(df: DataFrame, by: list[str] | None = None, a: str = "a", b: str = "b") -> DataFrame:

@@ -13,6 +13,7 @@ from meridex.functions import metrics as M
 from meridex.functions import vocabulary as V
 from meridex.functions.match import is_negated
 from meridex.operators import dedup, simjoin
+from meridex.operators.order import seeded_sql
 from meridex.session import Store
 from meridex.sources import io, remote
 
@@ -75,10 +76,22 @@ def jaccard(spark, sf_dir):
     return t.join(u, "doc_id").select("doc_id", F.round(textfn.jaccard(F.col("a"), F.col("b")), 9).alias("sim"))
 
 
-@query(r"""select doc_id, case when len(regexp_extract_all(text, '[A-Za-z\x{0621}-\x{064A}]')) = 0 then 0.0 else
-round(len(regexp_extract_all(text, '[\x{0621}-\x{064A}]'))::double / len(regexp_extract_all(text, '[A-Za-z\x{0621}-\x{064A}]')), 9) end as ratio from documents""")
+#: Texts of several scripts: a sentence, the text, its beginning with a sentence, digits, a few letters.
+_MIXED = f"(select doc_id, case doc_id % 5 when 0 then {D.SENTENCE} when 1 then text when 2 then left(text, 40) || {D.SENTENCE} when 3 then ' ' || doc_id * 1000 else left(text, 3) end as text from documents)"
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    kind, t = F.col("doc_id") % 5, F.col("text")
+    text = F.when(kind == 0, D.sentence()).when(kind == 1, t).when(kind == 2, F.concat(F.left(t, F.lit(40)), D.sentence())).when(kind == 3, F.concat(F.lit(" "), (F.col("doc_id") * 1000).cast("string"))).otherwise(F.left(t, F.lit(3)))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+_RATIO = r"""case when len(regexp_extract_all(text, '[A-Za-z\x{0621}-\x{064A}]')) = 0 then 0.0::double else len(regexp_extract_all(text, '[\x{0621}-\x{064A}]'))::double / len(regexp_extract_all(text, '[A-Za-z\x{0621}-\x{064A}]')) end"""
+
+
+@query(f"select doc_id, round({_RATIO}, 9) as ratio from {_MIXED}")
 def script_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(textfn.script_ratio(F.col("text")), 9).alias("ratio"))
+    return _mixed(spark, sf_dir).select("doc_id", F.round(textfn.script_ratio(F.col("text")), 9).alias("ratio"))
 
 
 @query(r"select conv_id, turn, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> ''))::bigint as words from conversations")
@@ -86,9 +99,9 @@ def word_count(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", textfn.word_count(F.col("text")).cast("bigint").alias("words"))
 
 
-@query(r"""select doc_id, case when len(trim(text, e' \n\t\r')) < 4 then 'too short' when regexp_full_match(trim(text, e' \n\t\r'), '[0-9]+') then 'numeric only' else 'not Arabic' end as reason from documents""")
+@query(rf"""select doc_id, case when len(trim(coalesce(text, ''), e' \n\t\r')) < 4 then 'too short' when regexp_full_match(trim(text, e' \n\t\r'), '[0-9]+') then 'numeric only' when {_RATIO} < 0.5 then 'not Arabic' end as reason from {_MIXED}""")
 def input_validation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", textfn.reject_reason(F.col("text")).alias("reason"))
+    return _mixed(spark, sf_dir).select("doc_id", textfn.reject_reason(F.col("text")).alias("reason"))
 
 
 @query(r"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(text, ''), e' \n\t\r'), '[\t-\r ]+', ' ', 'g'), '!!+', '!', 'g'), '\?\?+', '?', 'g'), '\.\.+', '.', 'g'), '،،+', '،', 'g') as spoken from conversations""")
@@ -358,6 +371,25 @@ def assign_splits(spark, sf_dir):
     return dedup.assign_splits(_docs(spark, sf_dir), Store(spark, "splits"), seed=None)
 
 
+# The same over a seeded shuffle: rows and components in the order of a hash of the seed.
+_SEED = 13
+_SHUFFLED_T = f"t as (select id, fp, a, doc_id from (select row_number() over (order by {seeded_sql(_SEED, 'doc_id')}, doc_id) - 1 as id, {_FP} as fp, {_TOKS} as a, doc_id from documents))"
+
+
+@query(f"""{_GREEDY.replace(_T, _SHUFFLED_T)}, r as (select doc_id, row_number() over (order by id) as k from t where fp <> '' and (id not in (select id from nodes) or id in (select unnest(kept) from keep)))
+select 'C' || lpad(k::varchar, 4, '0') as id, trim(d.text, e' \\n\\t\\r') as text, d.source from r join documents d using (doc_id) where k <= 100""")
+def build_sheet_seeded(spark, sf_dir):
+    s = dedup.build_sheet(_docs(spark, sf_dir).drop("split"), 100, Store(spark, "sheet"), seed=_SEED, exact=False)
+    return s.select("id", "text", "source")
+
+
+@query(f"""with recursive {_BOTH}, s as (select component, count(*) as n from comp group by component),
+p as (select component, coalesce(sum(n) over (order by {seeded_sql(_SEED, 'component')}, component rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from s)
+select id as row_id, component, case when before < 0.3 * total then 'test' else 'dev' end as split from comp join p using (component)""")
+def assign_splits_seeded(spark, sf_dir):
+    return dedup.assign_splits(_docs(spark, sf_dir), Store(spark, "splits"), 0.3, seed=_SEED)
+
+
 # --- metrics: gold is the embeddings' label, the prediction is the nearest prototype ----------------------------------------
 _CLASSES = list(range(10))
 
@@ -424,6 +456,16 @@ def risk_coverage(spark, sf_dir):
     return M.risk_coverage(s, order="vec_id").select("point", F.round("coverage", 9).alias("coverage"), F.round("accuracy", 9).alias("accuracy"))
 
 
+@query("""with o as (select row_number() over (order by c desc, doc_id) as i, sum(ok) over (order by c desc, doc_id rows unbounded preceding) as hits, count(*) over () as n
+from (select doc_id, (toxic = 0)::int as ok, case when quality = 1 then 0.9 else 0.5 end as c from labels)),
+k as (select k as point, greatest(1, round_even((select count(*) from labels) * k / 20.0, 0)::bigint) as take from range(1, 21) r(k))
+select point, round(take / n::double, 9) as coverage, round(hits / take::double, 9) as accuracy from k join o on i = take""")
+def risk_coverage_ties(spark, sf_dir):
+    """Two confidences only, as where a confidence is clipped: nearly all rows tie."""
+    t = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 0).alias("correct"), F.when(F.col("quality") == 1, 0.9).otherwise(0.5).alias("confidence"))
+    return M.risk_coverage(t, order="doc_id", points=20).select("point", F.round("coverage", 9).alias("coverage"), F.round("accuracy", 9).alias("accuracy"))
+
+
 _KAPPA = """cells as (select a, b, count(*) as k from l group by all), tot as (select sum(k) as n, sum(k) filter (a = b) as same from cells),
 pa as (select a as x, sum(k) as ka from cells group by a), pb as (select b as x, sum(k) as kb from cells group by b), pe as (select sum(ka * kb)::double as e from pa join pb using (x)),
 kk as (select n::bigint as n, same / n::double as po, e / (n::double * n) as pe from tot, pe)"""
@@ -497,6 +539,13 @@ def gate(spark, sf_dir):
     return M.gate(_headline(spark, sf_dir), none, 0.95, 0.01, 0.5)
 
 
+@query(f"""with {_HEAD}, {_PAIRS}, v as (select (urgent_cases - under_triage) / urgent_cases::double as u from h)
+select 'urgent_recall' as failure from v where u < 0.95 union all select 'leakage' where exists (select 1 from near where a % 2 <> b % 2)""")
+def gate_with_leakage(spark, sf_dir):
+    """The gate over splits that share documents."""
+    return M.gate(_headline(spark, sf_dir), simjoin.leakage(_docs(spark, sf_dir)), 0.95, 0.0, 0.0)
+
+
 @query("""select round(avg((want = got)::int), 9) as red_flag_recall, count(*) as red_flag_cases from (select case when quality = 1 then 'a' else '' end as want, case when toxic = 1 then '' else 'a' end as got from labels) where want <> ''""")
 def red_flag_recall(spark, sf_dir):
     t = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "a;").otherwise("").alias("red_flags"), F.when(F.col("toxic") == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("pred_flags"))
