@@ -568,6 +568,16 @@ def error_rows(spark, sf_dir):
     return io.errors(t).select("doc_id", "quality", "toxic")
 
 
+@query("select doc_id::varchar as doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(lang, '') as lang, 1::bigint as copies from documents")
+def csv_scan(spark, sf_dir):
+    """Documents written as CSV files with all their line breaks and quotes, read again by ranges."""
+    path = Store(spark, "csv").root
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    t.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    r = io.read_large_csv(spark, path)
+    return r.groupBy("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang").agg(F.count_distinct("row_id").alias("copies"))
+
+
 @query("select page_id, sha256(html) as content_hash, len(html)::bigint as result from pages")
 def content_cache(spark, sf_dir):
     """Pages through a read-through cache: a third of them is kept before, the others are computed and kept now."""
