@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from meridex.llm import _kit as K
 from meridex.operators.graph import connected_components
+from meridex.operators.order import running
 from meridex.session import Store
 
 #: Heavy shingles kept for the order (any order is exact; this bounds the broadcast to 16 MB).
@@ -444,10 +445,24 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
 def keep_one(docs: DataFrame, store: Store) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id; the rest of the columns stay.
 
-    Documents without words, and those without a doc_id, are kept. Repeated rows of a kept doc_id stay one row.
+    Rows that share a doc_id but differ in text are documents of their own: each is linked by its own text, and stays or goes by
+    itself. Documents without words, and rows without a doc_id, are kept. Repeated rows (doc_id and text) stay one row. An empty table gives an
+    empty result.
     """
-    comp = jaccard_components(docs, store)
-    gone = comp.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    d = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2"))
+    own = d.where("doc_id is not null").select("doc_id", "_h1", "_h2").distinct()
+    shared = own.groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select("doc_id")
+    # ids below all others for the rows of such a doc_id
+    low = F.least(F.coalesce(F.lit(own.agg(F.min("doc_id")).first()[0]).cast("bigint"), F.lit(0)), F.lit(0))
+    clash = own.join(shared, "doc_id", "left_semi")
+    clash = store.save(running(clash, [F.col("doc_id"), F.col("_h1"), F.col("_h2")], store).select("doc_id", "_h1", "_h2", (low - F.col("rank")).alias("_own")), "clash")
+    if clash.isEmpty():
+        named = d.withColumn("_own", F.col("doc_id"))
+    else:
+        named = d.join(clash, ["doc_id", "_h1", "_h2"], "left").withColumn("_own", F.coalesce("_own", "doc_id"))
+    comp = store.save(jaccard_components(named.select(F.col("_own").alias("doc_id"), "text"), store).select("doc_id", "component_id").distinct(), "members")
+    real = clash.select(F.col("_own"), F.col("doc_id").alias("_real"))
+    placed = comp.join(real, F.col("doc_id") == F.col("_own"), "left").select(F.col("doc_id").alias("_id"), "component_id", F.coalesce("_real", "doc_id").alias("_real"))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("_real", F.col("_id"))).alias("s")).select(F.col("s._id").alias("_own"))
+    with_id = named.where("doc_id is not null").join(stays, "_own", "left_semi").dropDuplicates(["_own"])
+    return with_id.select("_row.*").unionByName(docs.where("doc_id is null"))
