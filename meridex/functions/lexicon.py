@@ -169,6 +169,9 @@ class Automaton:
         return negated, near2 | (back(ended, 3) & open2 & or2)
 
 
+#: Eight tokens or more without Arabic letters: they hold no term, and no scope reaches over them.
+_FAR_APART, _APART = "(?:[^ء-ي ]++ ){8,200}+", "- - - - - - - - "
+
 _ready: dict[tuple, Automaton] = {}
 
 
@@ -221,7 +224,8 @@ def free_mask(c: Column, lexicons: Mapping[str, Iterable[str]] | None = None) ->
             masks.append(m)
         return pa.array(masks, pa.int64())
 
-    return F.coalesce(find(_arabic(c)), F.lit(0).cast("bigint"))
+    near = F.regexp_replace(_arabic(c), _FAR_APART, _APART)  # what stands between is shortened before it is handed over
+    return F.coalesce(find(near), F.lit(0).cast("bigint"))
 
 
 _PLACE = {name: k for k, name in enumerate(LEXICONS)}

@@ -78,6 +78,17 @@ def test_edges(rows):
     assert r[6].k == 20_000 * r[4].k and r[6].m == r[4].m > 0
 
 
+def test_long_parts_without_arabic(spark):
+    rng = random.Random(5)
+    part = lambda: " ".join(rng.choice(["x", "|", "3", "the", "12.5", "پ"]) for _ in range(rng.choice([0, 2, 3, 7, 8, 9, 30, 450])))
+    texts = [re.sub(" +", " ", " ".join(f"{part()} {word(rng)}{rng.choice(['', '3', '|x'])}" for _ in range(6))).strip() for _ in range(600)] + ["a " * 100_000 + "تورم"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, n string").repartition(8)
+    got = dict(d.select("id", L.free_mask(F.col("n"))).collect())
+    for r in d.where("id < 600").select("id", *[has_any(F.col("n"), terms) for terms in L.LEXICONS.values()]).collect():
+        assert got[r[0]] == sum(1 << k for k, x in enumerate(r[1:]) if x)
+    assert got[600] > 0
+
+
 def test_one_pass_in_the_plan(rows):
     plan = rules.rule_engine(rows.select("id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "RLIKE" in plan and plan.count("RLIKE") < 8
