@@ -8,8 +8,10 @@ all of its pages and then aligned with each other per host, so a host's pages ne
 
 A text belongs to the main text by where it stands (in an article or main element if its page has text in one, else in
 the container with most of the host's varying text) and not in a menu, header, footer, sidebar, notice, advert, form or
-comment section. Pages of the second kind are matched with their host's wrapper and the texts of its content slots are
-joined; texts that match no slot count by their own path.
+comment section. Inside an article, names put an element outside only if they say nothing but that and its shape, as
+comment-list or relatedPosts do and side-effects does not; an article element itself goes by the same rule. An article that
+opens with a link for a heading beside one of twice its text or more, which does not, is a teaser. Pages of the second kind are matched with
+their host's wrapper and the texts of its content slots are joined; texts that match no slot count by their own path.
 """
 
 from __future__ import annotations
@@ -34,30 +36,40 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 CORE = frozenset(["article", "main", "body", "html"])
 OUTSIDE = frozenset("head nav footer aside form button menu dialog label title object audio video canvas map".split())
-_OUTSIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|commentlist|respond|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar)(?:$|[\s_-])", re.I)
+_OUTSIDE_WORD = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|commentlist|respond|reply|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar)"
+_OUTSIDE_NAME = re.compile(rf"(?:^|[\s_-]){_OUTSIDE_WORD}(?:$|[\s_-])", re.I)
+_OUTSIDE_PART = re.compile(rf"{_OUTSIDE_WORD}|teasers?", re.I)
+#: Parts of names that tell an element's shape or place, not what it says.
+_SHAPE_PART = re.compile(
+    r"\d+|area|articles?|aside|bar|block|body|bottom|box|btns?|buttons?|card|col|column|container|content|form|group|holder|icons?|inline|inner|item|items|left|links?|list|main|module|outer|panel|posts?|region|right|row|section|slot|stories|strip|thread|top|unit|wrap|wrapper|zone", re.I)
+_PART = re.compile(r"[A-Z]?[^\W\dA-Z_]+|[A-Z]+(?![^\W\dA-Z_])|\d+")
 
 
 def _outside(named: str, core: bool) -> bool:
-    """Whether class, id or role put an element outside the main text; in an article, only names that say nothing else do."""
+    """Whether class, id or role put an element outside the main text; in an article, only names that say nothing else but a shape do."""
     if not core:
         return bool(_OUTSIDE_NAME.search(named))
-    return any(all(_OUTSIDE_NAME.fullmatch(x) for x in re.split("[_-]+", word) if x) for word in named.split() if word.strip("_-"))
+    for word in named.split():
+        parts = _PART.findall(word)
+        out = [bool(_OUTSIDE_PART.fullmatch(x)) for x in parts]
+        if any(out) and all(o or _SHAPE_PART.fullmatch(x) for o, x in zip(out, parts, strict=True)):
+            return True
+    return False
 
 
 @lru_cache(maxsize=8192)
 def _kind(name: str, attrs: str, core: bool = False) -> str:
     """An open tag's place in paths: its name, with ! where its name, class, id or role put it outside the main text.
 
-    core: whether it stands in an article or main element; these themselves are judged by no class, id or role.
+    core: whether it stands in an article or main element. Main, body and html are judged by no class, id or role, an article as if it stood in one.
     """
-    named = " ".join(v for m in _NAMED.finditer(attrs) for v in m.groups()[1:] if v) if "=" in attrs and name not in CORE else ""
-    return name + ("!" if name in OUTSIDE or (named and _outside(named, core)) else "")
+    named = " ".join(v for m in _NAMED.finditer(attrs) for v in m.groups()[1:] if v) if "=" in attrs and (name not in CORE or name == "article") else ""
+    return name + ("!" if name in OUTSIDE or (named and _outside(named, core or name == "article")) else "")
 
 
-def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
-    """(stream, texts): tags and # for each text; for each text its path, its characters and its block's number."""
-    stream, texts, stack, block = [], [], [], 0
+def parse(html: str) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """(stream, texts): tags and # for each text; for each text its path, its characters, its block's number and its outermost article's (0: none)."""
+    stream, texts, stack, block, article = [], [], [], 0, 0
     for m in _TOKEN.finditer(html):
         text, name, k = m.group(8), m.group(3), 2
         if name is None and text is None and m.group(6) is not None:
@@ -65,13 +77,12 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
         if text is not None:
             if text.strip():
                 stream.append("#")
-            texts.append(("/".join(stack), text, block if text.strip() else -1))
-            if not text.strip():
-                texts[-1] = (texts[-1][0], " ", -1)
+            full = bool(text.strip())
+            texts.append(("/".join(stack), text if full else " ", block if full else -1, article if "article" in stack else 0))
         elif name is not None:
             name = name.lower()
             if name == "br":
-                texts.append(("", " ", -1))
+                texts.append(("", " ", -1, 0))
             elif name in BLOCK:
                 block += 1
             if m.group(k):
@@ -85,6 +96,7 @@ def parse(html: str) -> tuple[list[str], list[tuple[str, str, int]]]:
                 if name not in VOID:
                     attrs = m.group(k + 2) or ""
                     core = "article" in stack or "main" in stack
+                    article += name == "article" and "article" not in stack
                     stack.append(_kind(name, attrs, core) if len(attrs) < 512 else _kind.__wrapped__(name, attrs, core))
                 stream.append(f"<{stack[-1] if name not in VOID else name}>")
     return stream, texts
@@ -129,6 +141,20 @@ def fold(stream: list[str]) -> list[tuple]:
     return items
 
 
+def _teasers(texts: list[tuple[str, str, int, int]]) -> set[int]:
+    """The articles of a page that open with a link alone and have half the text at most of one that does not."""
+    size: dict[int, int] = {}
+    head: dict[int, int] = {}
+    linked: dict[int, bool] = {}
+    for path, text, block, article in texts:
+        if block >= 0 and article and "!" not in path:
+            size[article] = size.get(article, 0) + len(text.strip())
+            if head.setdefault(article, block) == block:
+                linked[article] = linked.get(article, True) and "a" in path.split("/")
+    most = max((n for a, n in size.items() if not linked[a]), default=0)
+    return {a for a, n in size.items() if linked[a] and 2 * n <= most}
+
+
 def _core(path: str) -> bool:
     """Whether a text's path is in an article or main element and not outside the main text."""
     return "!" not in path and not {"article", "main"}.isdisjoint(path.split("/"))
@@ -212,8 +238,10 @@ def _known(dumped: str) -> tuple[tuple, list, frozenset, tuple]:
 def extract(html: str, dumped: str) -> str:
     """The main text of a page by its host's wrapper; a text that the wrapper does not match counts by its own path."""
     stream, texts = parse(html)
-    paths = [path for path, _, block in texts if block >= 0]
-    wanted = {k for k, path in enumerate(paths) if _core(path)}
+    paths = [t[0] for t in texts if t[2] >= 0]
+    teasers = _teasers(texts)
+    articles = [t[3] for t in texts if t[2] >= 0]
+    wanted = {k for k, path in enumerate(paths) if _core(path) and articles[k] not in teasers}
     if not wanted:
         items = fold(stream)
         keys, places, content, best = _known(dumped)
@@ -229,7 +257,7 @@ def extract(html: str, dumped: str) -> str:
         wanted |= {k for k, path in enumerate(paths) if k not in matched and "!" not in path and tuple(path.split("/"))[: len(best)] == best}
     blocks: dict[int, list[str]] = {}
     n, last = -1, None
-    for _, text, block in texts:
+    for _, text, block, _ in texts:
         if block < 0:
             if last is not None:
                 blocks[last].append(" ")

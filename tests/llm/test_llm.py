@@ -527,3 +527,31 @@ def test_letters_keep_every_similar_pair():
     assert len(similar) > 500 and similar <= kept
     far = pa.RecordBatch.from_arrays([place[:1], place[:1], lines._letters(pa.array(["one two three four"])), lines._letters(pa.array(["five six seven nine"]))], names=["a", "b", "x", "y"])
     assert next(lines._near([far])).num_rows == 0
+
+
+def _alone(html):
+    from meridex.llm.html import Wrapper, extract
+
+    return extract(html, Wrapper.of_page(html).dumps())
+
+
+@pytest.mark.parametrize("name", "comment-list comments-section related-posts share-buttons ad-container ad-slot newsletter-box cookie-bar promo-box social-links breadcrumb-list sidebar-left pagination-links login-form commentArea relatedPosts".split())
+def test_html_names_in_an_article(name):
+    """Names that say only what stands outside, and its shape."""
+    assert _alone(f"<body><article><h1>Head</h1><p>Some text.</p><div class='{name}'><p>junk</p></div><p>End.</p></article></body>") == "Head\nSome text.\nEnd."
+
+
+@pytest.mark.parametrize("name", "side-effects share-price related-work social-history notice-period search-algorithm article-body post-content adsorption comment-on-method header-text list".split())
+def test_html_names_that_say_more(name):
+    assert _alone(f"<body><article><p>One.</p><div class='{name}'><p>kept</p></div></article></body>") == "One.\nkept"
+
+
+def test_html_second_articles():
+    """A reader comment and a teaser in an article of their own go; sections in articles of their own, and lists of linked articles, stay."""
+    text = "<article><h1>H</h1><p>body text that is long enough to be one</p></article>"
+    assert _alone(f"<main>{text}<article class='comment'><p>I disagree</p></article></main>") == "H\nbody text that is long enough to be one"
+    assert _alone(f"<main>{text}<article><h3><a href=/x>Other</a></h3><p>short</p></article></main>") == "H\nbody text that is long enough to be one"
+    assert _alone(f"<main>{text}<article><h3>Part two</h3><p>short</p></article></main>") == "H\nbody text that is long enough to be one\nPart two\nshort"
+    linked = "<article><h3><a href=/x>One</a></h3><p>first of the texts</p></article><article><h3><a href=/y>Two</a></h3></article>"
+    assert _alone(f"<main>{linked}</main>") == "One\nfirst of the texts\nTwo"
+    assert _alone("<article class='post sidebar-layout-wide'><p>x</p></article>") == "x"
