@@ -13,7 +13,9 @@ enumerate against list entries to scan. Sets up to 1/t times the boundary post b
 A set posts its heavy prefix keys only when it has SHARED of them or more: any other pair must share
 a light key. Two sets that both do meet by a heavy key only where their heavy shingles alone could reach the overlap
 they need; any others must share a light shingle, and all of these are keys of both. With c common prefix keys, two sets have at most c + max(n - p, m - q) common shingles, p and q
-being the prefix lengths; pairs that cannot reach the overlap they need are dropped before any set is read.
+being the prefix lengths; pairs that cannot reach the overlap they need are dropped before any set is read. So are those whose odd
+sketches rule them out: a sketch has the parities of a set's hashes over as many bins as suit its size, and two sets differ in a shingle
+at least for each bin in which their parities do. Of most pairs that share a passage only these bits travel, never the sets.
 
 Lists are scanned in a shuffle by key; the list of a heavy key is dealt over several tasks. A first
 round verifies for each class its most promising neighbour, hub rounds let a few classes of each list meet the others of
@@ -29,6 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ LIST_TASK = 2048
 SMALL_MOST = 14
 #: Prefix keys that two large sets must share to become a candidate pair (fewer for tiny sets).
 SHARED = 4
+#: Bins of an odd sketch for each two shingles, at least, and those of the smallest one. Their number is a power of two.
+ODD_BINS, ODD_LEAST = 3, 64
 #: Hub rounds end at so many, or with so few pairs left for each entry, or with fewer links than an entry in so many.
 HUB_ROUNDS = 12
 HUB_LEAST = 1
@@ -162,25 +167,69 @@ def _subset_keys(v: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def signatures(v: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set; n: the sizes of the sets that stand in v one after another."""
+    at, out = np.concatenate([[0], np.cumsum(n)]), []
+    with np.errstate(over="ignore"):
+        for salt in (1, 2):
+            cum = np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(v, salt))])
+            out.append(K.mix((cum[at[1:]] - cum[at[:-1]]) ^ n.astype(K.U), salt))
+    return out
+
+
+def odd_sketches(v: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The odd sketch of each set: the parity of its hashes in each bin, a bin being their low bits."""
+    bins = np.array([max(ODD_LEAST, 1 << max(0, int(x) * ODD_BINS // 2 - 1).bit_length()) for x in n.tolist()], np.int64)
+    at = np.cumsum(bins) - bins
+    row = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(at[row] + (v & (bins[row] - 1).astype(K.U)).astype(np.int64), minlength=int(bins.sum())) & 1
+    return K.binary_column(np.packbits(odd.astype(np.uint8), bitorder="little"), bins // 8)
+
+
+def _may_link(num: int, den: int):
+    """Keeps the pairs that their odd sketches do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(len(b), bool)
+            sizes = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            for i, (x, y) in enumerate(zip(b.column("odd_a"), b.column("odd_b"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), K.U), np.frombuffer(y.as_buffer(), K.U)
+                m = min(len(x), len(y))  # the halves of the longer one add up to a sketch of half as many bins
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, m), axis=0) for z in (x, y))
+                keep[i] = int(np.bitwise_count(x ^ y).sum()) * (num + den) <= int(sizes[i]) * (den - num)
+            m = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
+
+    return run
+
+
 def _describe(width: int, num: int, den: int, boundary: int, heavy_v, heavy_c):
-    """Per document: set size, 128-bit set signature, keys (prefix keys first), and how many are prefix keys."""
+    """Per document: set size, 128-bit set signature, keys (prefix keys first), how many are prefix keys, and odd sketch.
+
+    Of a task's equal sets only the first has keys and sketch.
+    """
 
     def run(batches):
         hv, hc = heavy_v.value, heavy_c.value
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             ids = b.column("doc_id")
             for i, j, raw, off in _rows(b, "text"):
                 r, v = shingle_sets(raw, off, width)
                 m = j - i
                 n = np.bincount(r, minlength=m)
-                with np.errstate(over="ignore"):
-                    sums = [np.zeros(m + 1, K.U), np.zeros(m + 1, K.U)]
-                    at = np.concatenate([[0], np.cumsum(n)])
-                    sig = []
-                    for salt in (1, 2):
-                        cum = np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(v, salt))])
-                        sig.append(K.mix((cum[at[1:]] - cum[at[:-1]]) ^ n.astype(K.U), salt))
-                del sums
+                sig = signatures(v, n)
+                new = []
+                for d, two in enumerate(zip(sig[0].tolist(), sig[1].tolist(), strict=True)):
+                    if n[d] and two not in seen and ids[i + d].is_valid:
+                        seen.add(two)
+                        new.append(d)
+                one = np.zeros(m, bool)
+                one[new] = True
+                all_n, mine = n, one[r]
+                r, v, n = r[mine], v[mine], np.where(one, n, 0)
+                at = np.concatenate([[0], np.cumsum(n)])
                 cnt = np.zeros(len(v), np.int64)
                 if len(hv) and len(v):
                     k = np.minimum(np.searchsorted(hv, v), len(hv) - 1)
@@ -201,9 +250,11 @@ def _describe(width: int, num: int, den: int, boundary: int, heavy_v, heavy_c):
                         parts += [keys[last : pat[d + 1]], sub := _subset_keys(v[at[d] : at[d + 1]], num, den)]
                         last, total[d] = pat[d + 1], total[d] + len(sub)
                     keys = np.concatenate([*parts, keys[last:]])
+                none = pa.scalar(None, pa.binary())
+                keys, odd = (pc.if_else(pa.array(one), x, none) for x in (K.binary_column(keys, total), odd_sketches(v, n)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, m), pa.array(n.astype(np.int64)), pa.array(K.signed(sig[0])), pa.array(K.signed(sig[1])), K.binary_column(keys, total), pa.array(pre.astype(np.int32))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "keys", "n_prefix"],
+                    [ids.slice(i, m), pa.array(all_n.astype(np.int64)), pa.array(K.signed(sig[0])), pa.array(K.signed(sig[1])), keys, pa.array(pre.astype(np.int32)), odd],
+                    names=["doc_id", "n_shingles", "s1", "s2", "keys", "n_prefix", "odd"],
                 )
 
     return run
@@ -215,7 +266,7 @@ def _post(heavy_v, heavy_c):
     def run(batches):
         hv, hc = heavy_v.value, heavy_c.value
         for b in batches:
-            rep, n, pre = (b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_shingles", "n_prefix"))
+            rep, n, pre = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n_shingles", "n_prefix"))
             keys = b.column("keys")
             offs = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
             v = np.frombuffer(keys.buffers()[2], K.U, count=offs[-1] // 8)[offs[0] // 8 :] if offs[-1] else np.zeros(0, K.U)
@@ -273,6 +324,9 @@ def _scan_lists(num: int, den: int):
 
 def _runs(t: pa.Table, num: int, den: int):
     key, salt, ids, n, pos, h = (t[c].to_numpy() for c in ("key", "salt", "id", "n", "pos", "h"))
+    again = np.append(False, (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]))[: len(key)]  # a set that several tasks posted
+    if again.any():
+        key, salt, ids, n, pos, h = (x[~again] for x in (key, salt, ids, n, pos, h))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     start = np.flatnonzero(new)
@@ -297,7 +351,9 @@ def _sets(width: int):
         for b in batches:
             for i, j, raw, off in _rows(b, "text"):
                 r, v = shingle_sets(raw, off, width)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), K.binary_column(v, np.bincount(r, minlength=j - i))], names=["id", "set"])
+                n = np.bincount(r, minlength=j - i)
+                s1, s2 = signatures(v, n)
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(s1)), pa.array(K.signed(s2)), K.binary_column(v, n)], names=["id", "s2", "set"])
 
     return run
 
@@ -349,26 +405,36 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
     boundary = choose_boundary(hist, mean_list, num, den)
     bv, bc = spark.sparkContext.broadcast(hv), spark.sparkContext.broadcast(hc)
 
-    base = store.save(docs.mapInArrow(_describe(width, num, den, boundary, bv, bc), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys binary, n_prefix int"), "base")
-    linkable = base.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles")
-    posted = (linkable.agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"), F.max("n_prefix").alias("n_prefix"))
-              .select("rep", "n_shingles", "keys", "n_prefix").mapInArrow(_post(bv, bc), "key bigint, salt int, id bigint, n int, pos int, h int"))
+    base = store.save(docs.mapInArrow(_describe(width, num, den, boundary, bv, bc), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, keys binary, n_prefix int, odd binary"), "base")
+    # A class goes by the first half of its signature; of the vanishingly few classes that share it, the others stand alone.
+    classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = store.save(classes, "classes")
+    owner = classes.groupBy(F.col("s1").alias("id")).agg(F.min(F.struct("s2", "rep")).alias("o")).select("id", "o.s2", "o.rep")
+    posted = (base.where("keys is not null").select(F.col("s1").alias("id"), "n_shingles", "keys", "n_prefix")
+              .mapInArrow(_post(bv, bc), "key bigint, salt int, id bigint, n int, pos int, h int"))
     lists = store.save(
         posted.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id")
         .mapInArrow(_scan_lists(num, den), "key bigint, id bigint, n int, pos int, h int, hub bigint, prev bigint"), "lists",
     )
+    odds = base.where("odd is not null").select(F.col("s1").alias("id"), F.col("n_shingles").cast("int").alias("n"), "s2", "odd")
+    odds = odds.join(lists.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("n", "odd"), "s2").alias("o"))
+    odds = store.save(odds.select("id", "o.n", "o.odd"), "odds")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that reach the threshold; only the texts of documents in them are fetched."""
+        """The pairs that reach the threshold; only the texts of documents in pairs that may reach it are fetched."""
         pairs = store.save(pairs, name)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "id bigint, set binary")
+        both = (pairs.join(odds.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("odd_a")), "a")
+                .join(odds.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("odd_b")), "b"))
+        some = store.save(both.select("a", "b", "na", "nb", "odd_a", "odd_b").mapInArrow(_may_link(num, den), "a bigint, b bigint"), "some")
+        wanted = store.save(some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(owner, "id"), "wanted")
+        sets = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "id bigint, s2 bigint, set binary")
+        sets = sets.join(wanted.select("id", "s2"), ["id", "s2"], "left_semi")
         sets = store.save(sets.groupBy("id").agg(F.min("set").alias("set")), "sets")
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+        both = some.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
         out = store.save(both.mapInArrow(_verify(num, den), "a bigint, b bigint"), "edges")
-        store.drop(pairs, sets)
+        store.drop(pairs, some, wanted, sets)
         return out
 
     # Round 1: each class with the earlier class that it meets in most lists.
@@ -413,7 +479,8 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
         if found:
             links = links.unionByName(new)
             part = connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), store)
-            at = unjoined(at.drop("c"), part)
+            at, was = unjoined(at.drop("c"), part), at
+            store.drop(was)
         if found * HUB_FRUIT < left.entries:
             break
 
@@ -429,11 +496,12 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 5, num: int =
                    f"else w + {unseen} >= {common} - greatest({tail('nx')}, {tail('ny')}) end").select("a", "b"))
     more = linked(rest, "pairs2")
     part2 = connected_components(links.unionByName(more), store)
-    reps = linkable.agg(F.min("doc_id").alias("rep"))
-    classes = (reps.select("s1", "s2", "n_shingles", "rep").join(part2.withColumnRenamed("node", "rep"), "rep", "left")
-               .select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component")))
-    classes = store.save(classes, "classes")
-    store.drop(lists, part, at, edges, more)
+    part2 = part2.withColumnRenamed("node", "id").join(owner, "id")
+    least = part2.groupBy("component").agg(F.min("rep").alias("least"))
+    placed = part2.join(least, "component").select(F.col("id").alias("s1"), "s2", "least")
+    classes = classes.join(placed, ["s1", "s2"], "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("least", "rep").alias("component"))
+    classes = store.save(classes, "components")
+    store.drop(lists, odds, part, at, edges, more)
     b = base.select("doc_id", "n_shingles", "s1", "s2")
     none = b.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = (b.where("n_shingles > 0 and doc_id is not null").alias("b")
