@@ -53,7 +53,7 @@ ODD_BINS, ODD_LEAST = 3, 64
 #: Hub rounds end at so many, or with so few pairs left for each entry, or with fewer links than an entry in so many.
 HUB_ROUNDS = 12
 HUB_LEAST = 1
-HUB_FRUIT = 2000
+HUB_FRUIT = 500
 
 
 def ceil_share(n: int, num: int, den: int) -> int:
