@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication: one occurrence of each group of near-equal lines stays in the corpus.
 
-Lines of WORDS_FUZZY words or more are normalised to their lower-case words (runs of letters; digits, marks and blanks only
-part words); shorter ones, which words alone do not tell apart, to their lower-case characters with single blanks. Equal
+Lines of WORDS_FUZZY words or more (runs of letters) are normalised to their lower-case runs of letters and digits, which marks
+and blanks only part; shorter ones, which words alone do not tell apart, to their lower-case characters with single blanks. Equal
 normalised lines form a class, by a 128-bit hash. Each class of the first kind has a sketch: the minima of the hashes of its
 runs of GRAM bytes, one for each of BINS bins. Classes meet in lists by blocks of WIDTH minima, as many blocks (BANDS)
 as it takes that lines with typing errors all over, at the edit similarity asked for, rarely miss each other in all of them.
@@ -50,6 +50,9 @@ WIDE = 2048
 _APART = np.ones(256, bool)
 _APART[97:123] = False
 _APART[128:] = False
+#: Digits make no words, but they stay: lines that differ in their numbers are as far apart as these are.
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _OTHER = K.mix(np.arange(256, dtype=K.U), 31)
 
 
@@ -172,7 +175,7 @@ def _scan(batches):
             if not len(some):
                 continue
             l1, l2, chars = np.zeros(len(lo), K.U), np.zeros(len(lo), K.U), np.zeros(len(lo), np.int64)
-            text, a, z = _flat(raw, letter, lo, breaks)
+            text, a, z = _flat(raw, letter | _DIGIT[raw], lo, breaks)
             l1[:], l2[:] = _hash2(text, a, z, 21)
             chars[:] = z - a
             plain = np.flatnonzero(~fuzzy)
@@ -204,7 +207,7 @@ def _scan(batches):
 
 def normalise(line: str) -> str:
     raw = np.frombuffer(line.lower().encode("utf-8", "surrogatepass") + b"\n", np.uint8)
-    text, a, z = _flat(raw, ~_APART[raw], np.zeros(1, np.int64), np.array([len(raw) - 1]))
+    text, a, z = _flat(raw, ~_APART[raw] | _DIGIT[raw], np.zeros(1, np.int64), np.array([len(raw) - 1]))
     return text[a[0] : z[0]].tobytes().decode("utf-8", "replace")
 
 

@@ -232,6 +232,16 @@ def test_lines(spark, store, docs):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.agg({"n_removed": "sum"}).first()[0] >= want
 
 
+def test_lines_that_differ_in_numbers(spark, store):
+    """Numbers count as much as letters: other numbers make another line, one other digit a near copy."""
+    from meridex.llm.lines import dedup_lines
+
+    rows = [(1, "in 2019 the total was 345 and in 2020 it was 678", "s"), (2, "in 1999 the total was 1 and in 1998 it was 2", "s"),
+            (3, "In 2019, the total was 345; and in 2020 it was 679!", "s"), (4, "in the total was and in it was", "s")]
+    got = {r.doc_id: r.text for r in dedup_lines(make(spark, rows), store).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: rows[3][1]}
+
+
 def test_lines_without_words(spark, store):
     """Scripts without blanks, and lines of digits and marks."""
     from meridex.llm.lines import dedup_lines
