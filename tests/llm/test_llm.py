@@ -162,6 +162,42 @@ def test_jaccard_crowds(spark, store, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(comp))
 
 
+def test_jaccard_one_id_with_two_texts(spark, store):
+    """Rows that share a doc_id are each linked by their own text."""
+    from meridex.llm import jaccard
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " more", "s"), (3, b + " more", "s"), (5, "a text of its own that stands alone", "s"), (9, a, "s")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(spark, rows), store).collect())
+    assert got == sorted([(5, 56, 5), (5, 56, 3), (7, 57, 5), (3, 57, 3), (5, 4, 5), (9, 56, 5)])
+
+
+def test_odd_sketches_keep_every_link():
+    """No pair of sets at the threshold is ruled out, whatever the sizes; sets that share half are."""
+    import pyarrow as pa
+
+    from meridex.llm import jaccard
+
+    rng = np.random.default_rng(2)
+    apart = 0
+    for n in [1, 2, 5, 9, 31, 64, 85, 86, 300, 2000]:
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            change = int(rng.integers(0, n + 1))
+            y = np.unique(np.concatenate([x[change:], rng.integers(0, 2**63, int(rng.integers(0, change + 1))).astype(np.uint64)]))
+            if not len(y):
+                continue
+            odd = jaccard.odd_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+            one = pa.array([1], pa.int64())
+            pair = pa.RecordBatch.from_arrays([one, one, pa.array([len(x)], pa.int32()), pa.array([len(y)], pa.int32()), odd[:1], odd[1:]], names=["a", "b", "na", "nb", "odd_a", "odd_b"])
+            kept = next(jaccard._may_link(80, 100)([pair])).num_rows
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= 80 * (len(x) + len(y) - both)
+            assert kept or not linked
+            apart += not kept
+    assert apart > 100
+
+
 def test_jaccard_lists_in_parts(spark, store, monkeypatch):
     """A near copy of many exact copies: two classes, alone in the parts of the lists where they meet."""
     from meridex.llm import jaccard
@@ -461,6 +497,28 @@ def test_vectors(spark):
     assert hit >= 0.9 * 40 and 650 not in near and permutation_search(emb.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_permutation_index_recall(spark, spread):
+    """Recall on 16,384 vectors, far more than a query reranks: random ones, and ones around centres."""
+    from meridex.llm import vectors
+
+    rng = np.random.default_rng(11)
+    n = 16384
+    x = rng.normal(size=(n, 32)) + spread * rng.normal(size=(64, 32))[rng.integers(0, 64, n)]
+    emb = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    near = {}
+    for r in vectors.permutation_search(emb, every=256).collect():
+        near.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for a in range(0, n, 256):
+        s = unit @ unit[a]
+        s[a] = -2
+        assert [r for r, _ in sorted(near[a])] == [1, 2, 3, 4, 5]
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {v for _, v in near[a]})
+    assert vectors.SHARE * n < n / 4 and hit >= 0.9 * 5 * len(near) and len(near) == n // 256, hit / 5 / len(near)
+
+
 def test_html(spark):
     from meridex.llm.html import Wrapper, extract, main_text
 
