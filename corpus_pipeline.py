@@ -48,7 +48,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Trained scores, SimHash groups and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Trained scores, groups of near lines and tokenizers are beyond SQL. The operators' tests hold them against brute force where it exists.
 ORACLE_SQL: str | None = None
 
 
