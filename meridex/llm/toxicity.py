@@ -34,6 +34,8 @@ CORRELATED = 0.2
 #: Calls that a voter's share of annotated toxic rows is worth beside what the label model finds.
 TRUST = 30
 HELD_MOD, HELD = 4, 2
+#: Sampled rows, and marks of features, that the fit has in double precision at once: the driver holds little beside the votes.
+ROWS_AT_ONCE, MARKS_AT_ONCE = 1_024, 1 << 18
 
 #: Lower-case ASCII letters and all bytes of non-ASCII characters form words.
 _APART = np.ones(256, bool)
@@ -126,23 +128,28 @@ def label_model(votes: np.ndarray, lexicon: int, before: np.ndarray, rounds: int
     """
     silent = ~votes[:, :lexicon].any(1)
     n, m = votes.shape
-    post, shared, calls = np.where(silent, 0.02, 0.9), votes, votes.sum(0)
+    parts = [slice(i, i + ROWS_AT_ONCE) for i in range(0, n, ROWS_AT_ONCE)]
+    post, shared, calls = np.where(silent, 0.02, 0.9), np.empty_like(votes), votes.sum(0)
     for k in range(rounds):
-        right = np.clip((post @ votes + TRUST * before) / (calls + TRUST), 0.02, 0.995)
+        right = np.clip((sum(post[p] @ votes[p] for p in parts) + TRUST * before) / (calls + TRUST), 0.02, 0.995)
         clean = np.clip(((1 - post) @ silent + 1) / (silent.sum() + 2), 0.5, 0.999)
         prior = (post.sum() + 1) / (n + 2)
         if k % 10 == 0:
             cov = np.zeros((m, m))
             for share in (post, 1 - post):  # correlations are parameters of both classes
-                centred = (votes - share @ votes / max(1e-9, share.sum())) * np.sqrt(share)[:, None]
-                cov += (centred.T @ centred) / n
+                mean = sum(share[p] @ votes[p] for p in parts) / max(1e-9, share.sum())
+                for p in parts:
+                    centred = (votes[p] - mean) * np.sqrt(share[p])[:, None]
+                    cov += (centred.T @ centred) / n
             sd = np.sqrt(np.diag(cov)) + 1e-9
             rho = cov / np.outer(sd, sd)
             rho = np.where(rho > CORRELATED, np.minimum(rho, 1), 0).astype(np.float32)
             np.fill_diagonal(rho, 1)
-            shared = votes / np.maximum(1, votes @ rho)
+            for p in parts:
+                shared[p] = votes[p] / np.maximum(1, votes[p] @ rho)
         base = np.log(prior / (1 - prior))  # a voter's evidence is how far its accuracy moves the odds from here
-        odds = base + shared @ (np.log(right / (1 - right)) - base) - silent * (np.log(clean / (1 - clean)) + base)
+        moves = np.log(right / (1 - right)) - base
+        odds = base + np.concatenate([shared[p] @ moves for p in parts]) - silent * (np.log(clean / (1 - clean)) + base)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post, np.append(right, clean), rho
 
@@ -151,10 +158,11 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, y: np.ndarray,
     """Weights and intercept over binary features, by full-batch Adagrad."""
     w, c = np.zeros(m), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     gw, gc = np.full(m, 1e-6), 1e-6
+    parts = [(rows[i : i + MARKS_AT_ONCE], cols[i : i + MARKS_AT_ONCE]) for i in range(0, len(rows), MARKS_AT_ONCE)]
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols], minlength=n) + c
+        z = sum((np.bincount(r, weights=w[k], minlength=n) for r, k in parts), np.full(n, c))
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.bincount(cols, weights=d[rows], minlength=m) + l2 * w
+        g = sum((np.bincount(k, weights=d[r], minlength=m) for r, k in parts), l2 * w)
         h = d.sum()
         gw += g * g
         gc += h * h
@@ -173,15 +181,17 @@ def fit(keys: np.ndarray, share: np.ndarray, lexicon: np.ndarray, sample: list)
     share: each feature's share of toxic rows among the annotated; lexicon: the numbers of the features that vote beside the patterns. sample: rows of _columns.
     """
     lens = np.array([len(r.cols) // 2 for r in sample])
-    col = np.frombuffer(b"".join(bytes(r.cols) for r in sample), np.uint16).astype(np.int64)
-    row = np.repeat(np.arange(len(sample)), lens)
+    col = np.frombuffer(b"".join(bytes(r.cols) for r in sample), np.uint16)
+    row = np.repeat(np.arange(len(sample), dtype=np.int32), lens)
     voters = np.concatenate([lexicon, np.flatnonzero(np.isin(keys, _PATTERN_KEYS))])
-    at = np.full(len(keys), -1)
+    at = np.full(len(keys), -1, np.int16)
     at[voters] = np.arange(len(voters))
     votes = np.zeros((len(sample), len(voters)), np.float32)
     hit = at[col] >= 0
     votes[row[hit], at[col[hit]]] = 1
+    del hit
     post, right, rho = label_model(votes, len(lexicon), share[voters])
+    del votes
     known = np.array([r.toxic is not None for r in sample])
     y = np.array([r.toxic or 0 for r in sample]) > 0
     agree = {"voters": len(voters), "rows": len(sample), "annotated": int(known.sum()), "agreement": float(((post > 0.5) == y)[known].mean()), "recall": float((post > 0.5)[known & y].mean()), "accuracies": right, "correlations": rho}
