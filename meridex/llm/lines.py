@@ -42,10 +42,13 @@ FLUSH = 1 << 21
 ENOUGH = 4
 #: Documents are told apart by so many hash classes where only some of them have to be shuffled.
 SIEVE = 1 << 20
-#: Rounds before the last one, at most; they end when one links fewer than one class in FRUIT. Random places of a list that an entry looks at in each.
-ROUNDS, FRUIT, PROBES = 2, 50, 16
+#: Rounds before the last one, at most, as long as a list has over CROWD pairs for each entry; they end when one links fewer than one class in FRUIT. Random places
+#: of such a list that an entry looks at in each.
+ROUNDS, CROWD, FRUIT, PROBES = 2, 32, 50, 16
 #: Texts up to this length have their distances taken many at once.
 WIDE = 2048
+#: Characters of the runs that are counted before a distance is taken.
+RUN = 3
 
 _APART = np.ones(256, bool)
 _APART[97:123] = False
@@ -211,17 +214,36 @@ def normalise(line: str) -> str:
     return text[a[0] : z[0]].tobytes().decode("utf-8", "replace")
 
 
+def normalised(lines: list[str]) -> pa.Array:
+    """`normalise` of lines without line breaks, all at once."""
+    raw = np.frombuffer(("\n".join(lines) + "\n").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    hi = np.flatnonzero(raw == 10)
+    text, a, z = _flat(raw, ~_APART[raw] | _DIGIT[raw], np.append(0, hi[:-1] + 1), hi)
+    keep = np.cumsum(np.bincount(a, minlength=len(text) + 1) - np.bincount(z, minlength=len(text) + 1))[: len(text)] > 0
+    off = np.append(0, np.cumsum(z - a)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lines), pa.py_buffer(off.tobytes()), pa.py_buffer(text[keep].tobytes()))
+
+
 def _texts(batches):
     """Normalised text of the wanted lines (line: its number, id: its class) of each document, and what `_letters` tells of it."""
+
+    def some(ids, lines):
+        t = normalised(lines)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), t, _letters(t)], names=["id", "t", "h"])
+
     for b in batches:
-        ids, out = [], []
+        ids, found, size = [], [], 0
         for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
             lines = (t or "").split("\n")
             for w in want:
                 ids.append(w["id"])
-                out.append(normalise(lines[w["line"]]))
-        t = pa.array(out, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), t, _letters(t)], names=["id", "t", "h"])
+                found.append(lines[w["line"]])
+                size += len(found[-1])
+            if size >= K.CHUNK:
+                yield some(ids, found)
+                ids, found, size = [], [], 0
+        if ids:
+            yield some(ids, found)
 
 
 #: Characters of a text, and how often each of a-z and the blank occurs in it, up to 255.
@@ -343,16 +365,40 @@ def _runs(batches, names):
         yield [tail[c].to_numpy() for c in names]
 
 
-def _probe(round_: int):
-    """For each entry of a list one that agrees with it and stands in another group, if a few random ones hold one."""
+_TRIED = "a bigint, b bigint, crowd bigint"
+
+
+def _tried(round_: int | None):
+    """All pairs of a list that agree and stand in different groups so far; but of a crowd, a list that has over CROWD of them for each entry, only
+    one pair for each entry, if a few random places hold one, and the list's key. Without a round no list counts as a crowd."""
 
     def run(batches):
         for key, ids, chars, s0, s1, comp in _runs(batches, ("key", "id", "chars", "s0", "s1", "c")):
             chars, s0, s1 = chars.astype(np.int64), s0.view(K.U), s1.view(K.U)
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(at, len(key)))
-            start, size = np.repeat(at, size), np.repeat(size, size)
-            todo, found = np.arange(len(key)), [np.zeros((2, 0), np.int64)]
+            sizes = np.diff(np.append(at, len(key)))
+            list_no = np.repeat(np.arange(len(at)), sizes)
+            seen, crowd = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+            found, x, gap = [np.zeros((2, 0), np.int64)], np.arange(len(key)), 0
+            while len(x):
+                gap += 1
+                x = x[: np.searchsorted(x, len(key) - gap)]
+                x = x[(list_no[x] == list_no[x + gap]) & _fit(chars, x, x + gap) & ~crowd[list_no[x]]]
+                a = x[comp[x] != comp[x + gap]]
+                a = a[agree(s0[a], s1[a], s0[a + gap], s1[a + gap]) >= PASS]
+                if len(a):
+                    found.append(np.stack([a, a + gap]))
+                    if round_ is not None:
+                        seen += np.bincount(list_no[a], minlength=len(at))
+                        crowd = seen > CROWD * sizes
+            pairs = np.concatenate(found, axis=1)
+            pairs = pairs[:, ~crowd[list_no[pairs[0]]]]
+            pairs = np.unique(np.stack([np.minimum(ids[pairs[0]], ids[pairs[1]]), np.maximum(ids[pairs[0]], ids[pairs[1]])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "crowd"])
+            todo = np.flatnonzero(crowd[list_no])
+            if not len(todo):
+                continue
+            start, size, found = np.repeat(at, sizes), np.repeat(sizes, sizes), []
             for k in range(PROBES):
                 step = 1 + (K.mix(key[todo].view(K.U), PROBES * round_ + k) % np.maximum(size[todo] - 1, 1).astype(K.U)).astype(np.int64)
                 other = start[todo] + (todo - start[todo] + step) % size[todo]
@@ -360,31 +406,12 @@ def _probe(round_: int):
                 ok &= agree(s0[todo], s1[todo], s0[other], s1[other]) >= PASS
                 found.append(np.stack([ids[todo[ok]], ids[other[ok]]]))
                 todo = todo[~ok]
-            pairs = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            pairs, keys = np.concatenate(found, axis=1), key[at[crowd]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(pairs[0], keys)), pa.array(pairs[1].tolist() + [None] * len(keys), pa.int64()), pa.array(np.append(np.zeros(pairs.shape[1], np.int64), keys))], names=["a", "b", "crowd"])
 
     return run
 
 
-def _rest(batches):
-    """All pairs of a list that agree and stand in different groups so far."""
-    for key, ids, chars, s0, s1, comp in _runs(batches, ("key", "id", "chars", "s0", "s1", "c")):
-        chars, s0, s1 = chars.astype(np.int64), s0.view(K.U), s1.view(K.U)
-        found, x, gap = [np.zeros((2, 0), np.int64)], np.arange(len(key)), 0
-        while len(x):
-            gap += 1
-            x = x[: np.searchsorted(x, len(key) - gap)]
-            x = x[(key[x] == key[x + gap]) & _fit(chars, x, x + gap)]
-            a = x[comp[x] != comp[x + gap]]
-            b = a + gap
-            ok = agree(s0[a], s1[a], s0[b], s1[b]) >= PASS
-            a, b = a[ok], b[ok]
-            if len(a):
-                found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
 def _middles(x: str, y: str) -> tuple[str, str]:
     """x and y without what both begin and end with, the shorter first."""
     n, a, step = min(len(x), len(y)), 0, 64
@@ -474,6 +501,22 @@ def distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
     return back
 
 
+def lacking(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """How many runs of RUN characters one text of each pair has beyond the other's, by hash classes, so that some may be missed: an edit brings RUN of them at most."""
+    out = np.zeros(len(pairs), np.int64)
+    for k in range(0, len(pairs), 512):
+        some = pairs[k : k + 512]
+        size = np.array([len(t) for pair in some for t in pair], np.int64)
+        code = np.frombuffer("".join([t for pair in some for t in pair]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(K.U)
+        at = np.repeat(np.arange(2 * len(some)), size)
+        whole = np.flatnonzero(np.arange(len(code)) + RUN <= np.cumsum(size)[at])
+        h = (code[whole] | code[whole + 1] << K.U(21) | code[whole + 2] << K.U(42)) * K.U(0x9E3779B97F4A7C15) >> K.U(54)
+        n = np.bincount((at[whole] << 10) + h.view(np.int64), minlength=2048 * len(some)).reshape(-1, 2, 1024)
+        more = n[:, 0] - n[:, 1]
+        out[k : k + 512] = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+    return out
+
+
 def alike(xs: list[str], ys: list[str]) -> np.ndarray:
     """Whether the edit distance of each pair leaves SIMILARITY of the longer text's characters."""
     ok, todo = np.zeros(len(xs), bool), []
@@ -488,6 +531,8 @@ def alike(xs: list[str], ys: list[str]) -> np.ndarray:
             elif x:
                 todo.append((i, x, y, most))
     todo.sort(key=lambda t: len(t[2]))
+    near = lacking([(x, y) for _, x, y, _ in todo]) <= RUN * np.array([t[3] for t in todo])
+    todo = [t for t, keep in zip(todo, near.tolist(), strict=True) if keep]
     for k in range(0, len(todo), 2048):
         some = todo[k : k + 2048]
         found = distances([(x, y) for _, x, y, _ in some], max(t[3] for t in some))
@@ -515,10 +560,10 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
 
 
-def _sieved(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose key falls into a hash class of those in some (or, anti, does not): at most SIEVE classes are broadcast."""
-    classes = some.select(F.pmod("dk", F.lit(SIEVE)).alias("sieve")).distinct()
-    return docs.withColumn("sieve", F.pmod("dk", F.lit(SIEVE))).join(F.broadcast(classes), "sieve", how).drop("sieve")
+def _sieved(docs: DataFrame, some: DataFrame, how: str, key: str = "dk") -> DataFrame:
+    """The rows of docs whose key (a hash) falls into a class of those in the first column of some (or, anti, does not): at most SIEVE classes are broadcast."""
+    classes = some.select(F.pmod(some.columns[0], F.lit(SIEVE)).alias("sieve")).distinct()
+    return docs.withColumn("sieve", F.pmod(key, F.lit(SIEVE))).join(F.broadcast(classes), "sieve", how).drop("sieve")
 
 
 def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -536,47 +581,56 @@ def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, Da
 
     # Only classes with a candidate have their texts fetched, once.
     ids = lists.select("id").distinct()
-    want = classes.select(F.col("l1").alias("id"), F.col("first.dk").alias("dk"), F.col("first.line").alias("line")).join(ids, "id", "left_semi")
+    want = classes.select(F.col("l1").alias("id"), "first").join(ids, "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
+    want = want.select("id", F.col("first.dk").alias("dk"), F.col("first.line").alias("line"))
     want = store.save(want.groupBy("dk").agg(F.collect_list(F.struct("id", "line")).alias("want")), "want")  # as many as the document has lines
-    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").select("text", "want").mapInArrow(_texts, "id bigint, t string, h binary")
-    texts = store.save(texts.groupBy("id").agg(F.min("t").alias("t"), F.min_by("h", "t").alias("h")), "texts")
+    # Rows of one dk are equal in doc_id and text, and one of them is enough: they stand together after the join.
+    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").dropDuplicates(["dk"]).select("text", "want").mapInArrow(_texts, "id bigint, t string, h binary")
+    texts = store.save(texts, "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
-        def each(pairs: DataFrame, what: str) -> DataFrame:
+        def each(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
             both = pairs.join(texts.select(F.col("id").alias("a"), F.col(what).alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col(what).alias("y")), "b")
             return both.select("a", "b", "x", "y")
 
-        # Most pairs fall by their letters alone, so that only the rest meet their texts.
-        near = each(pairs, "h").mapInArrow(_near, "a bigint, b bigint")
-        out = store.save(each(near, "t").mapInArrow(_verify, "a bigint, b bigint"), "links")
-        store.drop(pairs)
+        # Most pairs fall by their letters alone, so that only the rest meet their texts, and only texts of these are shuffled.
+        near = store.save(each(pairs, texts, "h").mapInArrow(_near, "a bigint, b bigint"), "letters")
+        some = _sieved(texts.select("id", "t"), near.select(F.explode(F.array("a", "b")).alias("id")), "left_semi", "id")
+        out = store.save(each(near, some, "t").mapInArrow(_verify, "a bigint, b bigint"), "links")
+        store.drop(pairs, near)
         return out
 
     best = lists.groupBy("id").agg(F.max(F.struct("score", "partner")).alias("m"))
     links = linked(best.select(F.col("id").alias("a"), F.col("m.partner").alias("b")), "near1")
     part = store.save(connected_components(links, store), "part")
 
-    def unjoined(part: DataFrame) -> DataFrame:
+    def unjoined(lists: DataFrame, part: DataFrame) -> DataFrame:
         """The entries of lists that hold more than one group."""
         at = lists.drop("partner", "score").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
         apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        at = store.save(at.join(apart, "key").select("key", "id", "chars", "s0", "s1", "c"), "apart")
-        return at.repartition("key").sortWithinPartitions("key", "chars", "id")
-
-    # Rounds of one partner for each class join crowds; what they leave apart is verified in full below.
-    for k in range(ROUNDS):
-        tries = unjoined(part).mapInArrow(_probe(k), "a bigint, b bigint").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
-        new = linked(tries, "tries")
-        found, had = new.count(), part.count()
-        part = store.save(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), store), "part")
-        if found * FRUIT < had:
+        return store.save(at.join(apart, "key").select("key", "id", "chars", "s0", "s1", "c"), "apart")
+
+    # All pairs of groups that lists leave apart are verified. Crowds are joined before by rounds of one partner for each class, and take part
+    # in the next round again; the last one takes what is left in full.
+    todo, k = lists, 0
+    while True:
+        apart = unjoined(todo, part)
+        tried = apart.repartition("key").sortWithinPartitions("key", "chars", "id").mapInArrow(_tried(k if k < ROUNDS else None), _TRIED)
+        tried = store.save(tried, "tried")
+        one = tried.where("crowd is not null and b is not null").groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
+        new = linked(tried.where("crowd is null").select("a", "b").unionByName(one), "tries")
+        crowds = tried.where("b is null").select(F.col("crowd").alias("key")).distinct()
+        done = crowds.isEmpty()
+        k = k + 1 if done or new.count() * FRUIT >= part.count() else ROUNDS
+        was, part = part, store.save(connected_components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new), store), "part")
+        todo = lists if done else store.save(lists.join(crowds, "key", "left_semi"), "crowds")
+        store.drop(apart, tried, new, was)
+        if done:
             break
-    more = linked(unjoined(part).mapInArrow(_rest, "a bigint, b bigint"), "near2")
-    last = part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    groups = store.save(connected_components(last, store).withColumnRenamed("node", "l1"), "groups")
-    store.drop(lists, want, texts, links, more, part)
+    groups = part.withColumnRenamed("node", "l1")
+    store.drop(lists, want, texts, links)
     return lines, classes, groups
 
 
@@ -592,10 +646,11 @@ def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.struct(*cols).alias("row"))
     lines, classes, groups = line_groups(keyed.select("dk", "row.doc_id", "row.text"), store)
-    kept = classes.join(groups, "l1", "left").withColumn("g", F.coalesce("component", "l1"))
+    # Classes of one line without a near copy, most of them, take no further part.
+    kept = store.save(classes.join(groups, "l1", "left").where("component is not null or n > 1").withColumn("g", F.coalesce("component", "l1")), "kept")
     keep = kept.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("m")).where("m > 1").drop("m")
-    copies = kept.join(keep, "g").select("l1", "l2", "keep")
-    gone = lines.join(copies, ["l1", "l2"]).where("dk <> keep.dk or line <> keep.line").groupBy("dk").agg(F.collect_set("line").alias("gone"))  # at most a document's lines
+    copies = store.save(kept.join(keep, "g").select("l1", "l2", "keep"), "copies")
+    gone = _sieved(lines, copies, "left_semi", "l1").join(copies, ["l1", "l2"]).where("dk <> keep.dk or line <> keep.line").groupBy("dk").agg(F.collect_set("line").alias("gone"))  # at most a document's lines
     gone = store.save(gone, "gone")
     parts = F.split(F.col("row.text"), "\n", -1)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n"))
