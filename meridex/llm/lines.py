@@ -3,7 +3,8 @@
 Lines of WORDS_FUZZY words or more (runs of letters) are normalised to their lower-case runs of letters and digits, which marks
 and blanks only part; shorter ones, which words alone do not tell apart, to their lower-case characters with single blanks. Equal
 normalised lines form a class, by a 128-bit hash. Each class of the first kind has a sketch: the minima of the hashes of its
-runs of GRAM bytes, one for each of BINS bins. Classes meet in lists by blocks of WIDTH minima, as many blocks (BANDS)
+runs of GRAM bytes, one for each of BINS bins. A run counts with the one of PARTS equal parts of its line that it begins in: long lines
+of one language share most of their runs, but not at the same places, and near copies keep them there. Classes meet in lists by blocks of WIDTH minima, as many blocks (BANDS)
 as it takes that lines with typing errors all over, at the edit similarity asked for, rarely miss each other in all of them.
 In a list, two classes are candidates where PASS or more bins of their sketches agree (by 4 bits each). Candidates are
 verified by edit similarity (those whose letters alone do not rule it out), linked classes form groups, and of each group the first occurrence, by doc_id and line, is kept.
@@ -13,8 +14,9 @@ letter in a line of 40 characters moves about 12: no block of useful length then
 an agreement that falls with the share of changed runs. See the README for figures.
 
 The list entries travel packed: a task sends one block of bytes to each bucket of lists. A first round verifies for each class
-the partner whose sketch agrees best; then only pairs not yet in one group are verified, so a crowd of near copies never
-becomes all its pairs and no candidate that matters is lost.
+the partner before it, in an order by hashes, whose sketch agrees best, which makes trees of crowds; then only pairs not yet in one group are
+verified, so a crowd of near copies never becomes all its pairs and no candidate that matters is lost. Texts are read again for
+the sketches and for the candidates' lines, so that neither are stored or shuffled with all lines.
 """
 
 from __future__ import annotations
@@ -33,15 +35,17 @@ SIMILARITY = 0.9
 WORDS_FUZZY = 5
 #: Shorter normalised lines cannot differ in a byte at this similarity; they have no sketch.
 BYTES_LEAST = 10
-GRAM = 6
+GRAM, PARTS = 6, 6
 BANDS, WIDTH, BINS, PASS = 14, 2, 31, 9
 #: List entries of a bucket, about, and those that a task holds before it sends them.
 BUCKET_ENTRIES = 1 << 19
 FLUSH = 1 << 21
-#: Partners of an entry after which the first round looks for no more; the second round has no such bound.
-ENOUGH = 4
+#: Partners before an entry after which the first round looks for no more, and one in how many entries of a list may be left without; the second round has no such bounds.
+ENOUGH, LEFT = 4, 64
 #: Documents are told apart by so many hash classes where only some of them have to be shuffled.
 SIEVE = 1 << 20
+#: Hash classes of lines, a bit each, that tell each task whose texts are wanted.
+MARKS = 1 << 25
 #: Rounds before the last one, at most, as long as a list has over CROWD pairs for each entry; they end when one links fewer than one class in FRUIT. Random places
 #: of such a list that an entry looks at in each.
 ROUNDS, CROWD, FRUIT, PROBES = 2, 32, 50, 16
@@ -56,6 +60,7 @@ _APART[128:] = False
 #: Digits make no words, but they stay: lines that differ in their numbers are as far apart as these are.
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_PART = K.mix(np.arange(PARTS, dtype=K.U), 37)
 _OTHER = K.mix(np.arange(256, dtype=K.U), 31)
 
 
@@ -95,7 +100,7 @@ def _hash2(text: np.ndarray, a: np.ndarray, z: np.ndarray, salt: int) -> tuple[n
 
 
 def sketches(text: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Minima of 32-bit hashes of the runs of GRAM bytes of text[a:z], by line and bin. Each line has GRAM bytes or more.
+    """Minima of 32-bit hashes of the runs of GRAM bytes of text[a:z] and their parts of it, by line and bin. Each line has GRAM bytes or more.
 
     A bin without runs takes the minimum of another; BINS is a prime.
     """
@@ -104,7 +109,8 @@ def sketches(text: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     line = np.repeat(np.arange(len(a), dtype=np.int64), runs)
     place = np.arange(len(line)) + np.repeat(a - (np.cumsum(runs) - runs), runs)
     with np.errstate(over="ignore"):
-        h = (wide[place] & K.U((1 << 8 * GRAM) - 1)) * K.U(0x9E3779B97F4A7C15)
+        part = np.repeat(np.tile(_PART, len(a)), np.diff(runs[:, None] * np.arange(PARTS + 1) // PARTS, axis=1).ravel())
+        h = ((wide[place] & K.U((1 << 8 * GRAM) - 1)) + part) * K.U(0x9E3779B97F4A7C15)
         h = (h ^ (h >> K.U(29))) * K.U(0xBF58476D1CE4E5B9)
         h ^= h >> K.U(32)
     line *= BINS
@@ -145,67 +151,60 @@ def agree(a0, a1, b0, b1) -> np.ndarray:
     return BINS - off
 
 
-_SCAN = "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint, chars int, keys binary, sketch binary"
-_SCAN_NAMES = ["dk", "doc_id", "line", "l1", "l2", "chars", "keys", "sketch"]
+_SCAN = "dk bigint, doc_id bigint, line int, l1 bigint, l2 bigint"
+
+
+def _lines(texts: pa.Array):
+    """The lines of texts in pieces: each line's text and place in it, those that are not blank, their hashes (l1, l2), bytes as normalised from text[a:z], and those that have a sketch."""
+    _, off0 = K.utf8(texts)
+    for i, j in K.pieces(off0):
+        low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
+        raw = np.frombuffer(b"\n".join(low) + b"\n", np.uint8)
+        size = np.array([len(x) + 1 for x in low], np.int64)
+        breaks = np.flatnonzero(raw == 10)
+        lo = np.concatenate([[0], breaks[:-1] + 1])
+        row = np.searchsorted(np.cumsum(size), lo, "right")
+        first = np.searchsorted(lo, np.cumsum(size) - size)
+        letter, solid = ~_APART[raw], ~K.SPACE[raw]
+        start = letter.copy()
+        start[1:] &= ~letter[:-1]
+        words = np.add.reduceat(start, lo, dtype=np.int32)
+        if (raw >= 0xE0).any():
+            lone = _unspaced(raw)
+            if lone.any():  # a word of such characters counts as many words as it has
+                at = np.flatnonzero(start)
+                each = np.add.reduceat(lone & letter, at, dtype=np.int32)
+                words = words + np.bincount(np.searchsorted(breaks, at), weights=np.maximum(each, 1) - 1, minlength=len(breaks)).astype(np.int32)
+        fuzzy = words >= WORDS_FUZZY
+        some = np.flatnonzero(np.logical_or.reduceat(solid, lo))
+        if not len(some):
+            continue
+        l1, l2 = np.zeros(len(lo), K.U), np.zeros(len(lo), K.U)
+        text, a, z = _flat(raw, letter | _DIGIT[raw], lo, breaks)
+        l1[:], l2[:] = _hash2(text, a, z, 21)
+        plain = np.flatnonzero(~fuzzy)
+        if len(plain):
+            mine = np.repeat(~fuzzy, breaks + 1 - lo)
+            ends = np.cumsum(breaks[plain] + 1 - lo[plain])
+            flat, pa_, pz = _flat(raw[mine], solid[mine], ends - (breaks[plain] + 1 - lo[plain]), ends - 1)
+            l1[plain], l2[plain] = _hash2(flat, pa_, pz, 23)
+        yield row + i, np.arange(len(lo)) - first[row], some, l1, l2, text, a, z, some[fuzzy[some] & ((z - a)[some] >= BYTES_LEAST)]
 
 
 def _scan(batches):
-    """A row per line that is not blank: its document's key, place and hash; the first of a task's equal lines has the sketch."""
-    seen: set[int] = set()
+    """A row per line that is not blank: its document's key, place and hash."""
     for b in batches:
-        texts = b.column("text")
-        _, off0 = K.utf8(texts)
-        for i, j in K.pieces(off0):
-            low = [(x or "").lower().encode("utf-8", "surrogatepass") for x in texts.slice(i, j - i).to_pylist()]
-            raw = np.frombuffer(b"\n".join(low) + b"\n", np.uint8)
-            size = np.array([len(x) + 1 for x in low], np.int64)
-            breaks = np.flatnonzero(raw == 10)
-            lo = np.concatenate([[0], breaks[:-1] + 1])
-            row = np.searchsorted(np.cumsum(size), lo, "right")
-            first = np.searchsorted(lo, np.cumsum(size) - size)
-            letter, solid = ~_APART[raw], ~K.SPACE[raw]
-            start = letter.copy()
-            start[1:] &= ~letter[:-1]
-            words = np.add.reduceat(start, lo, dtype=np.int32)
-            if (raw >= 0xE0).any():
-                lone = _unspaced(raw)
-                if lone.any():  # a word of such characters counts as many words as it has
-                    at = np.flatnonzero(start)
-                    each = np.add.reduceat(lone & letter, at, dtype=np.int32)
-                    words = words + np.bincount(np.searchsorted(breaks, at), weights=np.maximum(each, 1) - 1, minlength=len(breaks)).astype(np.int32)
-            fuzzy = words >= WORDS_FUZZY
-            some = np.flatnonzero(np.logical_or.reduceat(solid, lo))
-            if not len(some):
-                continue
-            l1, l2, chars = np.zeros(len(lo), K.U), np.zeros(len(lo), K.U), np.zeros(len(lo), np.int64)
-            text, a, z = _flat(raw, letter | _DIGIT[raw], lo, breaks)
-            l1[:], l2[:] = _hash2(text, a, z, 21)
-            chars[:] = z - a
-            plain = np.flatnonzero(~fuzzy)
-            if len(plain):
-                mine = np.repeat(~fuzzy, breaks + 1 - lo)
-                ends = np.cumsum(breaks[plain] + 1 - lo[plain])
-                flat, pa_, pz = _flat(raw[mine], solid[mine], ends - (breaks[plain] + 1 - lo[plain]), ends - 1)
-                l1[plain], l2[plain] = _hash2(flat, pa_, pz, 23)
-                chars[plain] = pz - pa_
-            new = []
-            for k in some[fuzzy[some] & (chars[some] >= BYTES_LEAST)].tolist():
-                x = int(l1[k])
-                if x not in seen:
-                    seen.add(x)
-                    new.append(k)
-            new = np.array(new, np.int64)
-            mask = np.ones(len(some), bool)
-            mask[np.searchsorted(some, new)] = False
-            keys, low_, high = _packed(sketches(text, a[new], z[new])) if len(new) else (np.zeros((0, BANDS), K.U), np.zeros(0, K.U), np.zeros(0, K.U))
-            where = np.cumsum(~mask) - 1
-            where = pa.array(where, mask=mask)
-            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(new), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary()).take(where)
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(new), [None, pa.py_buffer(np.stack([low_, high], 1).tobytes())]).cast(pa.binary()).take(where)
-            at = pa.array(row[some] + i)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("dk").take(at), b.column("doc_id").take(at), pa.array((some - first[row[some]]).astype(np.int32)), pa.array(K.signed(l1[some])), pa.array(K.signed(l2[some])),
-                 pa.array(chars[some].astype(np.int32)), keys, sketch], names=_SCAN_NAMES)
+        for row, line, some, l1, l2, *_ in _lines(b.column("text")):
+            at = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([b.column("dk").take(at), b.column("doc_id").take(at), pa.array(line[some].astype(np.int32)), pa.array(K.signed(l1[some])), pa.array(K.signed(l2[some]))], names=["dk", "doc_id", "line", "l1", "l2"])
+
+
+def _new(l1: np.ndarray, at: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Those of the lines `at` whose hash is not in seen, each hash once; it is then."""
+    at = at[np.sort(np.unique(l1[at], return_index=True)[1])]
+    new = np.array([x not in seen for x in l1[at].tolist()], bool)
+    seen.update(l1[at[new]].tolist())
+    return at[new]
 
 
 def normalise(line: str) -> str:
@@ -219,31 +218,39 @@ def normalised(lines: list[str]) -> pa.Array:
     raw = np.frombuffer(("\n".join(lines) + "\n").lower().encode("utf-8", "surrogatepass"), np.uint8)
     hi = np.flatnonzero(raw == 10)
     text, a, z = _flat(raw, ~_APART[raw] | _DIGIT[raw], np.append(0, hi[:-1] + 1), hi)
+    return _cut(text, a, z)
+
+
+def _cut(text: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.Array:
+    """text[a:z], which follow each other, as strings."""
     keep = np.cumsum(np.bincount(a, minlength=len(text) + 1) - np.bincount(z, minlength=len(text) + 1))[: len(text)] > 0
     off = np.append(0, np.cumsum(z - a)).astype(np.int32)
-    return pa.StringArray.from_buffers(len(lines), pa.py_buffer(off.tobytes()), pa.py_buffer(text[keep].tobytes()))
+    return pa.StringArray.from_buffers(len(a), pa.py_buffer(off.tobytes()), pa.py_buffer(text[keep].tobytes()))
 
 
-def _texts(batches):
-    """Normalised text of the wanted lines (line: its number, id: its class) of each document, and what `_letters` tells of it."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """MARKS bits, with those of the hash classes of ids set: 1 << 19 rows at most, whatever the number of ids."""
+    slot = F.pmod("id", F.lit(MARKS))
+    words = ids.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(id, 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS >> 6, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(K.U)
 
-    def some(ids, lines):
-        t = normalised(lines)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), t, _letters(t)], names=["id", "t", "h"])
 
-    for b in batches:
-        ids, found, size = [], [], 0
-        for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
-            lines = (t or "").split("\n")
-            for w in want:
-                ids.append(w["id"])
-                found.append(lines[w["line"]])
-                size += len(found[-1])
-            if size >= K.CHUNK:
-                yield some(ids, found)
-                ids, found, size = [], [], 0
-        if ids:
-            yield some(ids, found)
+def _texts(marks: np.ndarray):
+    """Normalised text of each line that has a sketch and a mark, by its class (id), once a task, and what `_letters` tells of it."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            for _, _, _, l1, _, text, a, z, at in _lines(b.column("text")):
+                slot = l1[at] & K.U(MARKS - 1)
+                at = _new(l1, at[(marks[(slot >> K.U(6)).view(np.int64)] >> (slot & K.U(63)) & K.U(1)).astype(bool)], seen)
+                if len(at):
+                    t = _cut(text, a[at], z[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(l1[at])), t, _letters(t)], names=["id", "t", "h"])
+
+    return run
 
 
 #: Characters of a text, and how often each of a-z and the blank occurs in it, up to 255.
@@ -269,10 +276,10 @@ _ENTRY = np.dtype([("key", "<u4"), ("chars", "<u2"), ("id", "<i8"), ("s0", "<u8"
 
 
 def _post(buckets: int):
-    """The list entries of a task's sketches, as one block of bytes for each bucket of lists."""
+    """The list entries of the sketches of a task's lines, each class once, as one block of bytes for each bucket of lists."""
 
     def run(batches):
-        held, n = [], 0
+        held, n, seen = [], 0, set()
 
         def blocks():
             keys, rest = np.concatenate([k for k, _ in held]), np.concatenate([e for _, e in held])
@@ -285,18 +292,18 @@ def _post(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([e[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "data"])
 
         for b in batches:
-            if not len(b):
-                continue
-            e = np.zeros(len(b), _ENTRY)
-            e["id"] = b.column("l1").to_numpy()
-            e["chars"] = np.minimum(b.column("chars").to_numpy(), 65535)
-            two = np.frombuffer(b"".join(b.column("sketch").to_pylist()), K.U).reshape(-1, 2)
-            e["s0"], e["s1"] = two[:, 0], two[:, 1]
-            held.append((np.frombuffer(b"".join(b.column("keys").to_pylist()), K.U).reshape(-1, BANDS), e))
-            n += BANDS * len(b)
-            if n >= FLUSH:
-                yield blocks()
-                held, n = [], 0
+            for _, _, _, l1, _, text, a, z, at in _lines(b.column("text")):
+                at = _new(l1, at, seen)
+                if not len(at):
+                    continue
+                e = np.zeros(len(at), _ENTRY)
+                e["id"], e["chars"] = K.signed(l1[at]), np.minimum((z - a)[at], 65535)
+                keys, e["s0"], e["s1"] = _packed(sketches(text, a[at], z[at]))
+                held.append((keys, e))
+                n += BANDS * len(at)
+                if n >= FLUSH:
+                    yield blocks()
+                    held, n = [], 0
         if held:
             yield blocks()
 
@@ -312,7 +319,7 @@ _LIST = "key bigint, id bigint, chars int, s0 bigint, s1 bigint, partner bigint,
 
 
 def _lists(table):
-    """The entries of one bucket that agree with another of their list, each with its best partner found."""
+    """The entries of one bucket that agree with another of their list, each with the best partner found among those before it in an order that all lists share; score 0 without."""
     bucket = table["bucket"][0].as_py()
     e = np.frombuffer(b"".join(table["data"].to_pylist()), _ENTRY)
     e = e[np.lexsort((e["id"], e["key"].astype(K.U) << K.U(16) | e["chars"]))]
@@ -321,27 +328,33 @@ def _lists(table):
     key, chars, ids, s0, s1 = e["key"], e["chars"].astype(np.int64), e["id"], e["s0"], e["s1"]
     list_no = np.cumsum(np.append(False, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     found, best, partner = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
-    open_ = np.bincount(list_no)  # entries of each list that look for partners yet
+    order, some = K.mix(ids.view(K.U), 41), np.zeros(len(key), bool)  # some: agrees with another at all
+    size = np.bincount(list_no)
+    open_ = size > 1
     x, gap = np.arange(len(key)), 0
     while len(x):
         gap += 1
         x = x[: np.searchsorted(x, len(key) - gap)]
         y = x + gap
-        ok = (list_no[x] == list_no[y]) & _fit(chars, x, y) & (open_[list_no[x]] > 0)  # sorted by length: a gap that does not fit ends an entry's search
+        ok = (list_no[x] == list_no[y]) & _fit(chars, x, y) & open_[list_no[x]]  # sorted by length: a gap that does not fit ends an entry's search
         x = x[ok]
         y = x + gap
-        look = (found[x] < ENOUGH) | (found[y] < ENOUGH)
-        a, b = x[look], y[look]
+        later = order[x] > order[y]
+        look = (found[np.where(later, x, y)] < ENOUGH) | ~some[x] | ~some[y]
+        a, b, later = x[look], y[look], later[look]
         n = agree(s0[a], s1[a], s0[b], s1[b]).astype(np.int32)
         ok = n >= PASS
-        a, b, n = a[ok], b[ok], n[ok]
-        for p, q in ((a, b), (b, a)):  # each of them is in here once
+        a, b, n, later = a[ok], b[ok], n[ok], later[ok]
+        some[a] = some[b] = True
+        for m, p, q in ((later, a, b), (~later, b, a)):  # each of them is in here once
+            p, q, k = p[m], q[m], n[m]
             found[p] += 1
-            better = n > best[p]
-            best[p[better]], partner[p[better]] = n[better], ids[q[better]]
+            better = k > best[p]
+            best[p[better]], partner[p[better]] = k[better], ids[q[better]]
         if gap % 16 == 0:
-            open_ = np.bincount(list_no, weights=found < ENOUGH)
-    k = np.flatnonzero(found)
+            lone, first = np.bincount(list_no, weights=~some), np.bincount(list_no, weights=found == 0)
+            open_ = (lone > 0) | (first > np.maximum(1, size // LEFT))
+    k = np.flatnonzero(some)
     return pa.table([pa.array((np.int64(bucket) << 32) + key[k].astype(np.int64)), pa.array(ids[k]), pa.array(chars[k].astype(np.int32)), pa.array(s0[k].view(np.int64)), pa.array(s1[k].view(np.int64)), pa.array(partner[k]), pa.array(best[k])],
                     names=["key", "id", "chars", "s0", "s1", "partner", "score"])
 
@@ -567,42 +580,36 @@ def _sieved(docs: DataFrame, some: DataFrame, how: str, key: str = "dk") -> Data
 
 
 def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, groups): every line with its document's key dk and class l1, l2; each class with its first occurrence; the group of
-    each class that has a near copy."""
+    """(lines, classes, part): every line with its document's key dk and class l1, l2; each class with its first occurrence; the group (component) of
+    each class (node, its l1) that has a near copy. All three are stored."""
     spark = docs.sparkSession
-    scan = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_scan, _SCAN), "lines")
-    lines = scan.select("dk", "doc_id", "line", "l1", "l2")
+    lines = store.save(docs.select("dk", "doc_id", "text").mapInArrow(_scan, _SCAN), "lines")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "dk", "line")
     classes = store.save(lines.groupBy("l1", "l2").agg(F.min(order).alias("first"), F.count("*").alias("n")), "classes")
-    sketched = scan.where("sketch is not null").select("l1", "chars", "keys", "sketch")
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sketched.count() * BANDS // BUCKET_ENTRIES + 1)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() * BANDS // BUCKET_ENTRIES + 1)
     # The class id is the first half of its hash; of the vanishingly few classes that share it, the others stand alone.
-    lists = store.save(sketched.mapInArrow(_post(buckets), "bucket int, data binary").groupBy("bucket").applyInArrow(_lists, _LIST), "lists")
+    lists = store.save(docs.select("text").mapInArrow(_post(buckets), "bucket int, data binary").groupBy("bucket").applyInArrow(_lists, _LIST), "lists")
 
-    # Only classes with a candidate have their texts fetched, once.
+    # Only classes with a candidate have their texts fetched, and only theirs are shuffled, but for those that share a mark.
     ids = lists.select("id").distinct()
-    want = classes.select(F.col("l1").alias("id"), "first").join(ids, "id", "left_semi").groupBy("id").agg(F.min("first").alias("first"))
-    want = want.select("id", F.col("first.dk").alias("dk"), F.col("first.line").alias("line"))
-    want = store.save(want.groupBy("dk").agg(F.collect_list(F.struct("id", "line")).alias("want")), "want")  # as many as the document has lines
-    # Rows of one dk are equal in doc_id and text, and one of them is enough: they stand together after the join.
-    texts = _sieved(docs.select("dk", "text"), want, "left_semi").join(want, "dk").dropDuplicates(["dk"]).select("text", "want").mapInArrow(_texts, "id bigint, t string, h binary")
+    texts = docs.select("text").mapInArrow(_texts(_marks(ids)), "id bigint, t string, h binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
     texts = store.save(texts, "texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = store.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
-        def each(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
-            both = pairs.join(texts.select(F.col("id").alias("a"), F.col(what).alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col(what).alias("y")), "b")
-            return both.select("a", "b", "x", "y")
+        def each(pairs: DataFrame, what: str) -> DataFrame:
+            for k, v in (("a", "x"), ("b", "y")):
+                pairs = pairs.join(_sieved(texts.select("id", what), pairs.select(k), "left_semi", "id").select(F.col("id").alias(k), F.col(what).alias(v)), k)
+            return pairs.select("a", "b", "x", "y")
 
-        # Most pairs fall by their letters alone, so that only the rest meet their texts, and only texts of these are shuffled.
-        near = store.save(each(pairs, texts, "h").mapInArrow(_near, "a bigint, b bigint"), "letters")
-        some = _sieved(texts.select("id", "t"), near.select(F.explode(F.array("a", "b")).alias("id")), "left_semi", "id")
-        out = store.save(each(near, some, "t").mapInArrow(_verify, "a bigint, b bigint"), "links")
+        # Many pairs fall by their letters alone, so that only the rest meet their texts, and only texts of these are shuffled.
+        near = store.save(each(pairs, "h").mapInArrow(_near, "a bigint, b bigint"), "letters")
+        out = store.save(each(near, "t").mapInArrow(_verify, "a bigint, b bigint"), "links")
         store.drop(pairs, near)
         return out
 
-    best = lists.groupBy("id").agg(F.max(F.struct("score", "partner")).alias("m"))
+    best = lists.where("score > 0").groupBy("id").agg(F.max(F.struct("score", "partner")).alias("m"))
     links = linked(best.select(F.col("id").alias("a"), F.col("m.partner").alias("b")), "near1")
     part = store.save(connected_components(links, store), "part")
 
@@ -629,9 +636,8 @@ def line_groups(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, Da
         store.drop(apart, tried, new, was)
         if done:
             break
-    groups = part.withColumnRenamed("node", "l1")
-    store.drop(lists, want, texts, links)
-    return lines, classes, groups
+    store.drop(lists, texts, links)
+    return lines, classes, part
 
 
 def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
@@ -645,13 +651,14 @@ def dedup_lines(docs: DataFrame, store: Store) -> DataFrame:
     """
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.struct(*cols).alias("row"))
-    lines, classes, groups = line_groups(keyed.select("dk", "row.doc_id", "row.text"), store)
+    lines, classes, part = line_groups(keyed.select("dk", "row.doc_id", "row.text"), store)
     # Classes of one line without a near copy, most of them, take no further part.
-    kept = store.save(classes.join(groups, "l1", "left").where("component is not null or n > 1").withColumn("g", F.coalesce("component", "l1")), "kept")
+    kept = store.save(classes.join(part.withColumnRenamed("node", "l1"), "l1", "left").where("component is not null or n > 1").withColumn("g", F.coalesce("component", "l1")), "kept")
     keep = kept.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("m")).where("m > 1").drop("m")
     copies = store.save(kept.join(keep, "g").select("l1", "l2", "keep"), "copies")
     gone = _sieved(lines, copies, "left_semi", "l1").join(copies, ["l1", "l2"]).where("dk <> keep.dk or line <> keep.line").groupBy("dk").agg(F.collect_set("line").alias("gone"))  # at most a document's lines
     gone = store.save(gone, "gone")
+    store.drop(lines, classes, part, kept, copies)
     parts = F.split(F.col("row.text"), "\n", -1)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n"))
     count = F.when(F.col("row.text").isNull(), 0).otherwise(F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1)

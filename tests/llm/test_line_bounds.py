@@ -54,3 +54,38 @@ def test_lists_are_tried_in_full_or_again():
     assert len({r["a"] for r in got if r["crowd"] == 0}) == 90
     last = _tried(None, small + crowd)
     assert all(r["crowd"] is None for r in last) and len(last) == 24 + 90 * 89 // 2
+
+
+def test_long_lines_of_one_language_are_no_candidates():
+    """Lines of few syllables share most of their runs; only those that have them at the same places are candidates, at any length."""
+    rng = random.Random(5)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    xs = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(600)) for _ in range(60)]
+    ys = [_edited(rng, x, int(0.08 * len(x))) for x in xs]
+
+    def packed(lines):
+        raw = [x.encode() for x in lines]
+        z = np.cumsum([len(x) + 1 for x in raw]) - 1
+        return L._packed(L.sketches(np.frombuffer(b" ".join(raw) + b" ", np.uint8), z - np.array([len(x) for x in raw]), z))
+
+    (kx, *sx), (ky, *sy) = packed(xs), packed(ys)
+    a, b = np.triu_indices(60, 1)
+    assert ((kx[a] == kx[b]).any(1) & (L.agree(sx[0][a], sx[1][a], sx[0][b], sx[1][b]) >= L.PASS)).sum() < 10
+    assert ((kx == ky).any(1) & (L.agree(*sx, *sy) >= L.PASS)).sum() >= 54
+
+
+def test_a_crowd_is_joined_by_one_round():
+    """Of entries that all agree each has a partner before it in one order, so that they make one tree but for one in LEFT."""
+    n = 700
+    e = np.zeros(n, L._ENTRY)
+    e["key"], e["chars"], e["id"] = 7, 100, np.random.default_rng(2).permutation(10**6)[:n]
+    got = L._lists(pa.table([pa.array([3], pa.int32()), pa.array([e.tobytes()])], names=["bucket", "data"])).to_pylist()
+    parent = {r["id"]: r["partner"] for r in got if r["score"]}
+    assert len(got) == n and len(parent) >= n - 1 - n // L.LEFT
+
+    def root(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    assert len({root(r["id"]) for r in got}) == n - len(parent)
